@@ -5,20 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lakemill.llm import quality
+from lakemill.llm import bpe, decontaminate, fingerprint, quality, token_count, toxicity
 from lakemill.llm.frames import table
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of every document that the classifier keeps."""
     docs = table(spark, sf_dir, "documents")
-    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where("keep").select("doc_id", F.col("score"))
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where("keep").select("doc_id", "score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score) of every document found toxic."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic").select("doc_id", "score")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op5_toxicity": op5_toxicity,
+    "op7_token_counts": op7_token_counts,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SPANS_SQL}
