@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import bpe, decontaminate, fingerprint, quality, token_count, toxicity
+from lakemill.llm import bpe, decontaminate, fingerprint, ngram_join, quality, token_count, toxicity
 from lakemill.llm.frames import table
 
 
@@ -16,6 +16,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).where("keep").select("doc_id", "score")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of every document found toxic."""
     docs = table(spark, sf_dir, "documents")
@@ -40,6 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
+    "op3_ngram_join": op3_ngram_join,
     "op5_toxicity": op5_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
@@ -47,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {"op10_decontaminate": decontaminate.SPANS_SQL}
+SQL: dict[str, str] = {"op3_ngram_join": ngram_join.PAIRS_SQL, "op10_decontaminate": decontaminate.SPANS_SQL}
