@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakemill.llm import bpe, decontaminate, fingerprint, ngram_join, quality, token_count, toxicity
+from lakemill.llm import bpe, decontaminate, fingerprint, html_tree, license_scan, ngram_join, quality, secrets, token_count, toxicity
 from lakemill.llm.frames import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of every document that the classifier keeps."""
     docs = table(spark, sf_dir, "documents")
@@ -20,12 +24,20 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.pairs(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score) of every document found toxic."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))).where("toxic").select("doc_id", "score")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count(table(spark, sf_dir, "documents"))
 
@@ -43,9 +55,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_quality": op2_quality,
     "op3_ngram_join": op3_ngram_join,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
+    "op6_html": op6_html,
     "op7_token_counts": op7_token_counts,
     "op8_fingerprints": op8_fingerprints,
     "op9_byte_bpe": op9_byte_bpe,
