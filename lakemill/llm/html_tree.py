@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from lakemill.llm import kernel
 from lakemill.llm.frames import by_chunk, fixed
 
-LEAST, FADE = 0.25, 0.9
+LEAST, FADE = 0.5, 0.9
 #: Removed nodes go to every worker up to this many, and by a join on the host beyond it.
 BROADCAST_NODES = 2_000_000
 _TOKEN = re.compile(
