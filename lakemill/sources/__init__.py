@@ -1,0 +1,236 @@
+"""Readers that Spark doesn't have by itself, and thin ones over those it has."""
+
+from __future__ import annotations
+
+import gzip
+import os
+import re
+import tempfile
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from lakemill.dialect import spark_type
+
+_CSV = {
+    "sep": "sep", "delimiter": "sep", "delim": "sep", "header": "header", "quotechar": "quote", "quote": "quote", "escapechar": "escape", "escape": "escape", "na_values": "nullValue", "nullstr": "nullValue",
+    "encoding": "encoding", "date_format": "dateFormat", "dateformat": "dateFormat", "timestamp_format": "timestampFormat", "timestampformat": "timestampFormat", "comment": "comment", "lineterminator": "lineSep", "new_line": "lineSep",
+    "max_line_size": "maxCharsPerColumn", "compression": None, "parallel": None, "sample_size": None, "all_varchar": None, "auto_detect": None, "ignore_errors": None, "normalize_names": None, "filename": None, "null_padding": None,
+    "hive_partitioning": None, "union_by_name": None, "decimal": None, "skiprows": None, "skip": None, "dtype": None, "dtypes": None, "names": None, "columns": None,
+}
+EXTENSIONS = {
+    "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".webp", ".ppm"), "audio": (".wav", ".mp3", ".flac", ".ogg", ".m4a"),
+    "video": (".mp4", ".mov", ".avi", ".mkv", ".webm"), "document": (".pdf", ".txt", ".md", ".html", ".docx"),
+}
+
+
+def read_csv(spark: SparkSession, path: Any, **options: Any) -> DataFrame:
+    """CSV files by path, list or glob, or a file-like object, which is written to a file first.
+
+    Names of options are those of pandas or of the SQL reader. ``skiprows`` leaves out the first lines of
+    every file; ``dtype`` is a list of types in order or a dict by name; ``names`` gives the columns.
+    """
+    if unknown := options.keys() - _CSV.keys():
+        raise ValueError(f"unknown CSV options: {sorted(unknown)}")
+    if hasattr(path, "read"):
+        data = path.read()
+        data = data.encode() if isinstance(data, str) else data
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+        path = os.path.join(folder.removeprefix("file://"), f"upload-{os.urandom(6).hex()}.csv")
+        with open(path, "wb") as f:
+            f.write(data)
+    header = options.get("header", True)
+    settings = {"header": bool(header), "inferSchema": not options.get("all_varchar", False), "multiLine": True, "quote": '"', "escape": '"', "nanValue": "nan", "mode": "DROPMALFORMED" if options.get("ignore_errors") else "FAILFAST" if options.get("null_padding") is False else "PERMISSIVE"}
+    settings |= {_CSV[k]: v for k, v in options.items() if _CSV[k] and not isinstance(v, bool) and k != "header"}
+    skip = int(options.get("skiprows", options.get("skip", 0)) or 0)
+    names, kinds = options.get("names", options.get("columns")), options.get("dtype", options.get("dtypes"))
+    if skip:
+        lines = spark.read.option("wholetext", True).text(path if isinstance(path, list) else [path])
+        cut = lines.select(F.array_join(F.slice(F.split("value", r"\r?\n"), skip + 1, 1 << 30), "\n").alias("v"))
+        rows = cut.select(F.explode(F.filter(F.split("v", "\n"), lambda x: x != "")).alias("value"))
+        # the header line of every file is left out by its content
+        head = rows.first()
+        lines = rows.rdd.map(lambda r: r[0])
+        df = spark.read.options(**{k: v for k, v in settings.items() if k != "multiLine"}).csv(lines) if head else spark.createDataFrame([], "col0 string")
+    else:
+        df = spark.read.options(**settings).csv(path)
+    if not header and not names:
+        df = df.toDF(*(f"column{i}" for i in range(len(df.columns))))
+    if names:
+        df = df.toDF(*list(names)[: len(df.columns)], *df.columns[len(names) :])
+    if kinds:
+        by = kinds if isinstance(kinds, dict) else dict(zip(df.columns, kinds, strict=False))
+        df = df.select(*(F.col(f"`{c}`").cast(spark_type(by[c])).alias(c) if c in by else F.col(f"`{c}`") for c in df.columns))
+    if options.get("normalize_names"):
+        df = df.toDF(*(re.sub(r"\W+", "_", c).strip("_").lower() for c in df.columns))
+    return df.withColumn("filename", F.input_file_name()) if options.get("filename") else df
+
+
+def read_hive(spark: SparkSession, path: str, hive_partitioning: bool = True, union_by_name: bool = False) -> DataFrame:
+    """Parquet under key=value folders; the keys are columns by which whole folders are left out."""
+    reader = spark.read.option("mergeSchema", str(union_by_name).lower())
+    base = re.split(r"/(?=[^/]*[*?\[{])", path)[0] if re.search(r"[*?\[{]", path) else path
+    if hive_partitioning:
+        return reader.option("basePath", base).parquet(path)
+    return reader.option("recursiveFileLookup", "true").parquet(base)
+
+
+def read_any(spark: SparkSession, url: str, fmt: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Parquet, CSV or JSON from any URL that Hadoop can read; .gz, .bz2 and .zst are unpacked."""
+    kind = fmt or next((k for k in ("parquet", "csv", "json", "orc") if re.search(rf"\.{k}(\.(gz|bz2|zst))?$", url)), "parquet")
+    reader = spark.read.option("header", True).option("inferSchema", True) if kind == "csv" else spark.read
+    df = reader.format(kind).load(url)
+    return df.select(*columns) if columns else df
+
+
+def _path(spark: SparkSession, url: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(url)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def glob(spark: SparkSession, url: str) -> list[str]:
+    fs, p = _path(spark, url)
+    return sorted(s.getPath().toString() for s in fs.globStatus(p) or [])
+
+
+def exists(spark: SparkSession, url: str) -> bool:
+    fs, p = _path(spark, url)
+    return fs.exists(p)
+
+
+def read_bytes(spark: SparkSession, url: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(url).select("content").first()[0])
+
+
+def detect_format(spark: SparkSession, path: str) -> str:
+    """versioned, iceberg, hive, parquet, csv, json or unknown, by what lies at a path."""
+    if exists(spark, f"{path}/_manifest"):
+        return "versioned"
+    if exists(spark, f"{path}/metadata") and exists(spark, f"{path}/data"):
+        return "iceberg"
+    names = [os.path.basename(p) for p in glob(spark, f"{path}/*")] or [os.path.basename(path)]
+    if any("=" in n for n in names):
+        return "hive"
+    for kind in ("parquet", "csv", "json"):
+        if any(re.search(rf"\.{kind}(\.(gz|bz2|zst))?$", n) for n in names):
+            return kind
+    return "unknown"
+
+
+def list_files(spark: SparkSession, inputs: str | list[str], exts: tuple[str, ...] | None = None, content: bool = False) -> DataFrame:
+    """(path, length, modified) of files by folder, glob or list; with their bytes on demand."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(inputs)
+    if exts:
+        df = df.where(F.lower("path").rlike("(" + "|".join(re.escape(e) for e in exts) + ")$"))
+    return df.select("path", "length", F.col("modificationTime").alias("modified"), *(["content"] if content else []))
+
+
+def media_files(spark: SparkSession, kind: str, inputs: str | list[str], content: bool = True) -> DataFrame:
+    """Image, audio, video or document files."""
+    return list_files(spark, inputs, EXTENSIONS[kind], content)
+
+
+# WARC
+
+
+def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record of a WARC file, its members packed by gzip or not."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
+    at = 0
+    while (at := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        head = {}
+        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
+            k, _, v = line.partition(":")
+            head[k.strip().lower()] = v.strip()
+        size = int(head.get("content-length", 0))
+        yield head, data[end + 4 : end + 4 + size]
+        at = end + 4 + size
+
+
+_WARC = "path string, record_id string, type string, url string, date string, content_type string, content binary"
+
+
+def read_warc(spark: SparkSession, url: str, record_type: str | None = "response", text: bool = False) -> DataFrame:
+    """(path, record_id, type, url, date, content_type, content) of the records of WARC files; a task per file.
+
+    Of HTTP responses the body is the content and its own header gives the type. With ``text`` the
+    content is plain text from HTML.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema = to_arrow_schema(T.StructType.fromDDL(_WARC))
+        for batch in batches:
+            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                rows = []
+                for head, body in warc_records(data):
+                    kind = head.get("warc-type")
+                    if record_type and kind != record_type:
+                        continue
+                    content_type = head.get("content-type")
+                    if body[:5] == b"HTTP/" and b"\r\n\r\n" in body:
+                        http, body = body.split(b"\r\n\r\n", 1)
+                        m = re.search(rb"(?im)^content-type:\s*([^\r\n]+)", http)
+                        content_type = m[1].decode("latin-1").strip() if m else None
+                    rows.append({"path": path, "record_id": head.get("warc-record-id"), "type": kind, "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "content_type": content_type, "content": body})
+                    if len(rows) >= 512:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema)
+
+    files = spark.read.format("binaryFile").load(url).select("path", "content")
+    out = files.mapInArrow(run, _WARC)
+    if not text:
+        return out
+    from lakemill.functions.text import html_to_text
+
+    return html_to_text(out.withColumn("content", F.decode("content", "UTF-8")), "content", "text").drop("content")
+
+
+# generators as sources
+
+
+class _Task(InputPartition):
+    def __init__(self, fn: Callable[[], Iterator[Any]]) -> None:
+        self.fn = fn
+
+
+def generator_source(name: str, schema: str, tasks: list[Callable[[], Iterator[Any]]]) -> type[DataSource]:
+    """A data source whose partitions are callables that give Arrow batches or rows; register it by ``spark.dataSource.register``."""
+    kind = schema
+
+    class Reader(DataSourceReader):
+        def partitions(self) -> list[InputPartition]:
+            return [_Task(t) for t in tasks]
+
+        def read(self, partition: _Task) -> Iterator[Any]:
+            for x in partition.fn():
+                yield from x.to_batches() if isinstance(x, pa.Table) else [x]
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return kind
+
+        def reader(self, schema: T.StructType) -> DataSourceReader:
+            return Reader()
+
+    return Source
+
+
+def read_generators(spark: SparkSession, schema: str, tasks: list[Callable[[], Iterator[Any]]], name: str = "lakemill_generators") -> DataFrame:
+    spark.dataSource.register(generator_source(name, schema, tasks))
+    return spark.read.format(name).load()
