@@ -51,8 +51,9 @@ You should have received a copy of the GNU General Public License along with thi
 }
 #: Words of which a block needs one.
 CUES = r"(?i)licen[cs]|copyright|all rights|permission|redistribut|warrant|public domain|creative commons|\bCC[ -]?(BY|0)|proprietary|spdx|unauthorized copying|free software"
-#: The share of its size that a template has to save, the share of its words that have to stand in the template, in order, and how many templates are compared by wording.
-SAVED, WORDED, RUNNERS = 0.35, 0.8, 5
+#: The share of its size that a template has to save, the share of its words that have to stand in the template, in order,
+#: the differing words that a word of the block may cost at most, and how many templates are compared by wording.
+SAVED, WORDED, DIFFERING, RUNNERS = 0.35, 0.8, 0.5, 5
 _CUE = regex.compile(CUES)
 _BLOCK = regex.compile(r"\S(?:[^\n]*?(?<=[.!?])(?=\s)|[^\n]*)")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
@@ -91,7 +92,9 @@ def best(block: str) -> tuple[str, float, int] | None:
         matched = sum(m.size for m in same)
         if matched >= WORDED * len(words):
             inside = same[-1].a + same[-1].size - same[0].a - matched  # template words passed over between matches
-            found.append((len(words) - matched + inside, -saved, name))
+            differ = len(words) - matched + inside
+            if differ <= DIFFERING * len(words):
+                found.append((differ, -saved, name))
     if not found:
         return None
     differ, saved, name = min(found)
