@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import inspect
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakemill import dialect, sources
 from lakemill.relation import Relation
@@ -161,12 +162,12 @@ class Connection:
         """Rows that a Python generator gives, computed by one task."""
         kind = T.StructType.fromDDL(schema)
 
-        def run(batches):  # noqa: ANN001, ANN202
-            from pyspark.sql.pandas.types import to_arrow_schema
+        arrow, names = to_arrow_schema(kind), kind.names
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _ in batches:
-                rows = [r if isinstance(r, dict) else dict(zip(kind.names, r if isinstance(r, (tuple, list)) else (r,), strict=True)) for r in fn(*args)]
-                yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(kind))
+                rows = [r if isinstance(r, dict) else dict(zip(names, r if isinstance(r, (tuple, list)) else (r,), strict=True)) for r in fn(*args)]
+                yield pa.RecordBatch.from_pylist(rows, arrow)
 
         return Relation(self.spark.range(1, numPartitions=1).mapInArrow(run, kind))
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakemill.dialect import spark_type
 
@@ -50,13 +51,11 @@ def read_csv(spark: SparkSession, path: Any, **options: Any) -> DataFrame:
     skip = int(options.get("skiprows", options.get("skip", 0)) or 0)
     names, kinds = options.get("names", options.get("columns")), options.get("dtype", options.get("dtypes"))
     if skip:
-        lines = spark.read.option("wholetext", True).text(path if isinstance(path, list) else [path])
+        lines = spark.read.text(path, wholetext=True)
         cut = lines.select(F.array_join(F.slice(F.split("value", r"\r?\n"), skip + 1, 1 << 30), "\n").alias("v"))
         rows = cut.select(F.explode(F.filter(F.split("v", "\n"), lambda x: x != "")).alias("value"))
-        # the header line of every file is left out by its content
-        head = rows.first()
-        lines = rows.rdd.map(lambda r: r[0])
-        df = spark.read.options(**{k: v for k, v in settings.items() if k != "multiLine"}).csv(lines) if head else spark.createDataFrame([], "col0 string")
+        # Spark's reader of strings leaves out every line that equals the first, the header, if there is one
+        df = spark.read.options(**{k: v for k, v in settings.items() if k != "multiLine"}).csv(rows.rdd.map(lambda r: r[0]))
     else:
         df = spark.read.options(**settings).csv(path)
     if not header and not names:
@@ -166,10 +165,9 @@ def read_warc(spark: SparkSession, url: str, record_type: str | None = "response
     content is plain text from HTML.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    schema = to_arrow_schema(T.StructType.fromDDL(_WARC))
 
-        schema = to_arrow_schema(T.StructType.fromDDL(_WARC))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 rows = []

@@ -17,9 +17,16 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).load(path)
 
 
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream with its watermark, which wants a time with zone; a batch as it is."""
+    if not events.isStreaming:
+        return events
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
+
+
 def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, slide: str | None = None, late: str = "10 minutes", value: str | None = None) -> DataFrame:
     """Rows, and the sum of a value, per window and keys; batches and streams alike."""
-    base = events.withWatermark(time, late) if events.isStreaming else events
+    base = _timed(events, time, late)
     aggs = [F.count("*").alias("n"), *([F.round(F.sum(value), 4).alias("total")] if value else [])]
     out = base.groupBy(F.window(time, size, slide) if slide else F.window(time, size), *keys).agg(*aggs)
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *(a for a in out.columns if a not in ("window", *keys)))
@@ -27,13 +34,13 @@ def windowed_counts(events: DataFrame, time: str, keys: list[str], size: str, sl
 
 def sessions(events: DataFrame, time: str, keys: list[str], gap: str, late: str = "10 minutes") -> DataFrame:
     """One row per session of a key: runs of events less than the gap apart."""
-    base = events.withWatermark(time, late) if events.isStreaming else events
+    base = _timed(events, time, late)
     out = base.groupBy(F.session_window(time, gap).alias("s"), *keys).agg(F.count("*").alias("n"))
     return out.select(F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), *keys, "n")
 
 
 def deduplicated(events: DataFrame, time: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return _timed(events, time, late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def running_counts(events: DataFrame, key: str, key_type: str = "bigint") -> DataFrame:
