@@ -135,6 +135,11 @@ class Connection:
         reader = self.spark.read.format("iceberg")
         return Relation((reader.option("snapshot-id", snapshot_id) if snapshot_id else reader).load(path))
 
+    def read_versioned(self, path: str, version: int | str | None = None, columns: list[str] | None = None, filter: str | None = None) -> Relation:  # noqa: A002
+        from lakemill.sources.versioned import Dataset
+
+        return Relation(Dataset(self.spark, path).read(version, columns, filter))
+
     def from_arrow(self, x: Any) -> Relation:
         return Relation(self._frame(x))
 

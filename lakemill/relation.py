@@ -478,6 +478,23 @@ class Relation:
 
     write_csv = to_csv
 
+    def pl(self):  # noqa: ANN201
+        """A polars frame, where polars is installed."""
+        import polars
+
+        return polars.from_arrow(self.frame.toArrow())
+
+    def write_iceberg(self, table: str, mode: str = "append") -> None:
+        """One commit to a table of that format; needs its jar and catalog."""
+        writer = self.frame.writeTo(table)
+        writer.append() if mode == "append" else writer.using("iceberg").createOrReplace()
+
+    def write_versioned(self, path: str, mode: str = "create") -> int:
+        """A version of a dataset of the library's own format."""
+        from lakemill.sources.versioned import Dataset
+
+        return Dataset(self.frame.sparkSession, path).write(self.frame, mode)
+
     def to_table(self, name: str) -> None:
         self.frame.write.saveAsTable(name)
 

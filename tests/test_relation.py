@@ -169,3 +169,47 @@ def test_asof_keeps_null_values(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 9)], "k int, t int")
     right = spark.createDataFrame([(1, 2, 1.0), (1, 4, None)], "k int, t int, v double")
     assert sorted((r.k, r.t, r.v) for r in joins.asof_join(left, right, "t", ["k"], "v").collect()) == [(1, 1, None), (1, 5, None), (2, 9, None)]
+
+
+def test_decorators(spark):
+    from lakemill.functions import udf
+
+    @udf.func(return_dtype="BIGINT")
+    def twice(x):
+        return None if x is None else 2 * x
+
+    @udf.cls(return_dtype="BIGINT")
+    class Add:
+        def __init__(self, n):
+            self.n = n
+
+        def __call__(self, x):
+            return int(x) + self.n
+
+    @udf.cls_batch(schema="id bigint", batch_size=2)
+    class First:
+        def __call__(self, b):
+            return b.slice(0, 1)
+
+    df = spark.range(5, numPartitions=1)
+    assert [r[0] for r in df.select(twice("id")).collect()] == [0, 2, 4, 6, 8]
+    assert [r[0] for r in df.select(Add(3)("id")).collect()] == [3, 4, 5, 6, 7]
+    assert [r[0] for r in First()(df).collect()] == [0, 2, 4]
+
+
+def test_console(con):
+    import io
+
+    from lakemill import console
+
+    out = io.StringIO()
+    console.run(con, ["SELECT 1 AS a,\n", "2 AS b;\n", "SELECT nonsense;\n", ".what\n", ".quit\n", "SELECT 9;\n"], out)
+    text = out.getvalue()
+    assert "a\tb\n1\t2" in text and "error:" in text and "unknown command .what" in text and "9" not in text.split("unknown")[1]
+
+
+def test_versioned_through_relations(con, tmp_path):
+    con.values("(1, 'a'), (2, 'b')").write_versioned(str(tmp_path / "v"))
+    con.values("(3, 'c')").write_versioned(str(tmp_path / "v"), "append")
+    assert con.read_versioned(str(tmp_path / "v")).num_rows() == 3
+    assert con.read_versioned(str(tmp_path / "v"), 1, ["col1"], "col0 = 2").fetchall() == [("b",)]
