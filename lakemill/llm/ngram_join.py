@@ -13,8 +13,9 @@ inverted index of prefixes; a pair that it gives has to pass the second and the
    documents whose prefix they fill can have no partner.
 3. The other documents' prefixes go to buckets again. Where two share a token they become a candidate,
    if their sizes allow it and no smaller token of both, as far as those travel along, gives it already.
-4. Candidates meet the token lists of their documents in blocks of documents, so that a list travels
-   once per block rather than once per partner; there the other orders filter and the rest is verified.
+4. Candidates meet the token lists of their documents in pairs of blocks. A document's block is chosen by
+   the smallest hash of its shared tokens, so that similar ones mostly share theirs and a list travels
+   once or a few times rather than once per partner; there the other orders filter and the rest is verified.
 
 Documents of equal sets are one document until the end. Nothing is capped: no bucket, partner or candidate.
 
@@ -156,17 +157,17 @@ def _answer(table: pa.Table) -> pa.Table:
     return pa.concat_tables([out.select(sent.column_names), sent])
 
 
-_LIVE = "set_id bigint, size int, lone int, doc_ids array<bigint>, tokens binary, codes binary"
+_LIVE = "set_id bigint, size int, lone int, home int, doc_ids array<bigint>, tokens binary, codes binary"
 
 
-def _documents(t: float):  # noqa: ANN202
+def _documents(t: float, blocks: int):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         """The rows of a chunk: its sets whose prefix holds tokens of others, with those tokens."""
         head = table["head"].to_numpy()
         at = int(np.flatnonzero(head)[0])
         ids, sets, size = (np.frombuffer(table[c][at].as_py(), k) for c, k in (("a", "<i8"), ("b", _U), ("c", "<i4")))
         rows = np.flatnonzero(~head)
-        empty = pa.table({"set_id": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "lone": pa.array([], pa.int32()), "doc_ids": pa.array([], pa.list_(pa.int64())), "tokens": pa.array([], pa.binary()), "codes": pa.array([], pa.binary())})
+        empty = pa.table({"set_id": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "lone": pa.array([], pa.int32()), "home": pa.array([], pa.int32()), "doc_ids": pa.array([], pa.list_(pa.int64())), "tokens": pa.array([], pa.binary()), "codes": pa.array([], pa.binary())})
         if not len(rows):
             return empty
         bucket = table["bucket"].to_numpy()[rows]
@@ -185,8 +186,9 @@ def _documents(t: float):  # noqa: ANN202
         for i in live.tolist():
             groups.setdefault(int(sets[i]), []).append(i)
         one = [g[0] for g in groups.values()]
+        home = [int(kernel.mix(token[edge[i] : edge[i + 1]], 51).min() % _U(blocks)) for i in one]
         return pa.table({
-            "set_id": pa.array(sets[one].view(np.int64)), "size": pa.array(size[one]), "lone": pa.array(lone[one].astype(np.int32)),
+            "set_id": pa.array(sets[one].view(np.int64)), "size": pa.array(size[one]), "lone": pa.array(lone[one].astype(np.int32)), "home": pa.array(home, pa.int32()),
             "doc_ids": pa.array([sorted({int(ids[i]) for i in g}) for g in groups.values()], pa.list_(pa.int64())),
             "tokens": pa.array([token[edge[i] : edge[i + 1]].tobytes() for i in one], pa.binary()), "codes": pa.array([code[edge[i] : edge[i + 1]].tobytes() for i in one], pa.binary()),
         }) if one else empty
@@ -208,7 +210,7 @@ def prefix(tokens: np.ndarray, codes: np.ndarray, size: int, lone: int, t: float
 def _index(live: DataFrame, t: float, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, size, lone = (batch.column(c).to_numpy() for c in ("set_id", "size", "lone"))
+            sets, size, lone, home = (batch.column(c).to_numpy() for c in ("set_id", "size", "lone", "home"))
             heads = [prefix(np.frombuffer(a.as_py(), _U), np.frombuffer(c.as_py(), np.uint8), int(s), int(n), t, ORDERS[0]) for a, c, s, n in zip(batch.column("tokens"), batch.column("codes"), size, lone, strict=True)]
             if not heads:
                 continue
@@ -223,26 +225,26 @@ def _index(live: DataFrame, t: float, buckets: int) -> DataFrame:
             b, token, doc = b[order], token[order], doc[order]
             edge = _bounds(b, buckets)
             used = np.flatnonzero(np.diff(edge))
-            out = {"bucket": used.astype(np.int32), "token": [], "place": [], "sets": [], "sizes": [], "low": []}
+            out = {"bucket": used.astype(np.int32), "token": [], "place": [], "sets": [], "sizes": [], "homes": [], "low": []}
             for k in used:
                 who, place = np.unique(doc[edge[k] : edge[k + 1]], return_inverse=True)
-                for c, x in (("token", token[edge[k] : edge[k + 1]]), ("place", place.astype(np.uint16)), ("sets", sets[who]), ("sizes", size[who]), ("low", low[who])):
+                for c, x in (("token", token[edge[k] : edge[k + 1]]), ("place", place.astype(np.uint16)), ("sets", sets[who]), ("sizes", size[who]), ("homes", home[who]), ("low", low[who])):
                     out[c].append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"])] + [pa.array(out[c], pa.binary()) for c in ("token", "place", "sets", "sizes", "low")], list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"])] + [pa.array(out[c], pa.binary()) for c in ("token", "place", "sets", "sizes", "homes", "low")], list(out))
 
-    return live.mapInArrow(run, "bucket int, token binary, place binary, sets binary, sizes binary, low binary")
+    return live.mapInArrow(run, "bucket int, token binary, place binary, sets binary, sizes binary, homes binary, low binary")
 
 
 def _pairs(t: float):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
-        """The rows of a bucket: pairs of sets that share a token of their prefixes, smaller id first."""
-        cols = {c: [np.frombuffer(x.as_py(), k) for x in table[c]] for c, k in (("token", _U), ("place", np.uint16), ("sets", np.int64), ("sizes", np.int32), ("low", _U))}
+        """The rows of a bucket: pairs of sets that share a token of their prefixes, smaller block first."""
+        cols = {c: [np.frombuffer(x.as_py(), k) for x in table[c]] for c, k in (("token", _U), ("place", np.uint16), ("sets", np.int64), ("sizes", np.int32), ("homes", np.int32), ("low", _U))}
         shift = np.cumsum([0, *map(len, cols["sets"])])[:-1]
         doc = np.concatenate([p.astype(np.int64) + s for p, s in zip(cols["place"], shift, strict=True)])
-        token, sets, sizes, low = (np.concatenate(cols[c]) for c in ("token", "sets", "sizes", "low"))
+        token, sets, sizes, homes, low = (np.concatenate(cols[c]) for c in ("token", "sets", "sizes", "homes", "low"))
         low = low.reshape(-1, AHEAD)
         distinct, first, same = np.unique(sets, return_index=True, return_inverse=True)  # equal sets of several chunks are one
-        sizes, low = sizes[first], low[first]
+        sizes, homes, low = sizes[first], homes[first], low[first]
         order = np.lexsort((same[doc], token))
         token, doc = token[order], same[doc][order]
         new = np.ones(len(token), bool)
@@ -269,7 +271,9 @@ def _pairs(t: float):  # noqa: ANN202
             found.append(np.unique(u * len(distinct) + v))
             a = z
         pairs = np.unique(np.concatenate(found))
-        return pa.table({"a": pa.array(distinct[pairs // max(len(distinct), 1)]), "b": pa.array(distinct[pairs % max(len(distinct), 1)])})
+        a, b = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
+        a, b = np.where(homes[a] <= homes[b], a, b), np.where(homes[a] <= homes[b], b, a)
+        return pa.table({"a": pa.array(distinct[a]), "b": pa.array(distinct[b]), "p": pa.array(homes[a]), "q": pa.array(homes[b])})
 
     return run
 
@@ -328,12 +332,9 @@ def similar_sets(docs: DataFrame, t: float = THRESHOLD, n: int = GRAM) -> tuple[
     """(set_id, doc_id) of the documents that can have partners, and (a, b, jaccard) of similar distinct sets."""
     width = min(shuffle_width(docs.sparkSession), 65_535)
     answers = _send(docs, n, width).groupBy("bucket").applyInArrow(lambda x: _answer(x), _PACKED)
-    live = fixed(answers.groupBy("chunk").applyInArrow(_documents(t), _LIVE))
+    live = fixed(answers.groupBy("chunk").applyInArrow(_documents(t, 4 * width), _LIVE))
     members = live.select("set_id", F.explode("doc_ids").alias("doc_id")).distinct()
-    pairs = fixed(_index(live, t, width).groupBy("bucket").applyInArrow(_pairs(t), "a bigint, b bigint").distinct())
-    blocks = max(4, int(np.ceil(np.sqrt(8 * width))))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    keyed = pairs.withColumns({"p": block("a"), "q": block("b")})
+    keyed = fixed(_index(live, t, max(4, width // 4)).groupBy("bucket").applyInArrow(_pairs(t), "a bigint, b bigint, p int, q int").distinct())
     asked = keyed.select(F.col("p").alias("r"), F.col("q").alias("s"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
     lists = live.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("size", "lone", "tokens", "codes")))
     sent = asked.join(lists, "set_id")
