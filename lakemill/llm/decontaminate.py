@@ -26,7 +26,7 @@ from lakemill.llm import kernel
 from lakemill.llm.frames import by_chunk, with_text
 
 PHRASE, SHORTEST = 8, 5
-SHARD_BYTES, SAMPLE = 4 << 20, 16
+SHARD_BYTES, SAMPLE = 2 << 20, 16
 #: The benchmark's texts go to every worker; beyond this size it has to be given in parts.
 BENCHMARK_BYTES = 256 << 20
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ def by_chunk(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
@@ -79,6 +81,12 @@ def fixed(df: DataFrame) -> DataFrame:
     With a checkpoint folder, which all executors share, they are written there; without one, as in
     tests, they are cached with the lineage kept, so a lost block is computed again.
     """
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint()
+    # the shuffle files behind a checkpoint go once nothing refers to them, which a collection finds out
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out

@@ -40,7 +40,7 @@ from lakemill.llm.chars import ragged
 from lakemill.llm.frames import fixed, shuffle_width
 
 GRAM, THRESHOLD = 3, 0.5
-CHUNK_TEXT, CHUNK_DOCS = 16 << 20, 60_000
+CHUNK_TEXT, CHUNK_DOCS = 8 << 20, 60_000
 AHEAD = 4
 #: Ids of documents to drop are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
@@ -95,7 +95,7 @@ def _send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         sets = kernel.mix(sets + size.astype(_U), 22)
         b = (kernel.mix(g, 5) % _U(buckets)).astype(np.int64)
         order = np.argsort(b.astype(np.uint16), kind="stable")
-        b, g, d = b[order], g[order] & _LOW, d[order].astype(np.uint16)
+        b, g, d = b[order], g[order] & _LOW, d[order]
         edge = _bounds(b, buckets)
         used = np.flatnonzero(np.diff(edge))
         rows = [(int(chunk % buckets), chunk, True, ids.astype("<i8").tobytes(), sets.tobytes(), size.astype("<i4").tobytes())]
@@ -115,7 +115,7 @@ def _send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     g, d = token_sets(x.column("text"), n)
                     held[0].append(x.column("doc_id").to_numpy())
                     held[1].append(g)
-                    held[2].append(d + weight[1])
+                    held[2].append((d + weight[1]).astype(np.uint16))
                     held[3].append(np.bincount(d, minlength=x.num_rows))
                     weight = [weight[0] + x.nbytes, weight[1] + x.num_rows]
         if weight[1]:
@@ -331,8 +331,7 @@ def _hits(mark: np.ndarray, rows: list[np.ndarray], which: np.ndarray) -> np.nda
 def similar_sets(docs: DataFrame, t: float = THRESHOLD, n: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(set_id, doc_id) of the documents that can have partners, and (a, b, jaccard) of similar distinct sets."""
     width = min(shuffle_width(docs.sparkSession), 65_535)
-    answers = _send(docs, n, width).groupBy("bucket").applyInArrow(lambda x: _answer(x), _PACKED)
-    live = fixed(answers.groupBy("chunk").applyInArrow(_documents(t, 4 * width), _LIVE))
+    live = fixed(_send(docs, n, min(2 * width, 65_535)).groupBy("bucket").applyInArrow(lambda x: _answer(x), _PACKED).groupBy("chunk").applyInArrow(_documents(t, 4 * width), _LIVE))
     members = live.select("set_id", F.explode("doc_ids").alias("doc_id")).distinct()
     keyed = fixed(_index(live, t, max(4, width // 4)).groupBy("bucket").applyInArrow(_pairs(t), "a bigint, b bigint, p int, q int").distinct())
     asked = keyed.select(F.col("p").alias("r"), F.col("q").alias("s"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
@@ -388,7 +387,7 @@ def deduplicate(docs: DataFrame, t: float = THRESHOLD, n: int = GRAM) -> DataFra
     gone = fixed(groups(docs, t, n).select("doc_id"))
     if gone.count() * 16 <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 PAIRS_SQL = rf"""
