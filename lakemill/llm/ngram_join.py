@@ -1,7 +1,7 @@
 """N-gram Jaccard join with several global token orders.
 
 All pairs of documents whose sets of word trigrams have a Jaccard similarity of at least THRESHOLD,
-exactly, up to collisions of 48-bit hashes inside a bucket. A pair that similar shares a token among the
+exactly, up to collisions of 44-bit hashes inside a bucket. A pair that similar shares a token among the
 first |x| - ceil(t|x|) + 1 of either document under *every* global token order. Three orders are used,
 all by rising document frequency, in which tokens of one document only come first, but with steps of
 frequency of different width and with different hashes inside a step. The first order feeds an
@@ -15,7 +15,8 @@ inverted index of prefixes; a pair that it gives has to pass the second and the
    if their sizes allow it and no smaller token of both, as far as those travel along, gives it already.
 4. Candidates meet the token lists of their documents in pairs of blocks. A document's block is chosen by
    the smallest hash of its shared tokens, so that similar ones mostly share theirs and a list travels
-   once or a few times rather than once per partner; there the other orders filter and the rest is verified.
+   once or a few times rather than once per partner; a block of more than BLOCK documents divides by
+   their hashes, so that a task's lists stay bounded. There the other orders filter and the rest is verified.
 
 Documents of equal sets are one document until the end. Nothing is capped: no bucket, partner or candidate.
 
@@ -41,10 +42,12 @@ from lakemill.llm.frames import fixed, shuffle_width
 
 GRAM, THRESHOLD = 3, 0.5
 CHUNK_TEXT, CHUNK_DOCS = 8 << 20, 60_000
-AHEAD = 4
+AHEAD, BLOCK = 4, 5000
 #: Ids of documents to drop are broadcast up to this size, and joined by a shuffle beyond it.
 BROADCAST_BYTES = 64 << 20
-_LOW = np.uint64((1 << 48) - 1)
+#: Bits of a token beside its bucket, and buckets at most.
+REST, BUCKETS = 44, 1 << 20
+_LOW = np.uint64((1 << REST) - 1)
 _U = np.uint64
 
 
@@ -94,7 +97,7 @@ def _send(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             sets[some] = np.add.reduceat(kernel.mix(g, 21), begin[some])
         sets = kernel.mix(sets + size.astype(_U), 22)
         b = (kernel.mix(g, 5) % _U(buckets)).astype(np.int64)
-        order = np.argsort(b.astype(np.uint16), kind="stable")
+        order = np.argsort(b.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
         b, g, d = b[order], g[order] & _LOW, d[order]
         edge = _bounds(b, buckets)
         used = np.flatnonzero(np.diff(edge))
@@ -172,7 +175,7 @@ def _documents(t: float, blocks: int):  # noqa: ANN202
             return empty
         bucket = table["bucket"].to_numpy()[rows]
         parts = [_unpack(table["a"][int(i)].as_py()) for i in rows]
-        token = np.concatenate([x | _U(int(b)) << _U(48) for x, b in zip(parts, bucket, strict=True)])
+        token = np.concatenate([x | _U(int(b)) << _U(REST) for x, b in zip(parts, bucket, strict=True)])
         owner = np.concatenate([np.frombuffer(table["b"][int(i)].as_py(), np.uint16) for i in rows])
         code = np.concatenate([np.frombuffer(table["c"][int(i)].as_py(), np.uint8) for i in rows])
         order = np.argsort(token)
@@ -207,10 +210,21 @@ def prefix(tokens: np.ndarray, codes: np.ndarray, size: int, lone: int, t: float
     return tokens[np.lexsort((hashed, codes // order[0]))[: max(take, 0)]]
 
 
-def _index(live: DataFrame, t: float, buckets: int) -> DataFrame:
+def _divided(home: np.ndarray, sets: np.ndarray, crowded: dict[int, int]) -> np.ndarray:
+    """Blocks from homes: those of crowded homes divide into as many parts as the dict says."""
+    out = home.astype(np.int64)
+    for h in np.unique(home).tolist():
+        if h in crowded:
+            mine = home == h
+            out[mine] |= ((sets[mine].view(_U) % _U(crowded[h])).astype(np.int64) + 1) << 32
+    return out
+
+
+def _index(live: DataFrame, t: float, buckets: int, crowded: dict[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, CHUNK_DOCS) for b in batches for k in range(0, b.num_rows, CHUNK_DOCS)):
             sets, size, lone, home = (batch.column(c).to_numpy() for c in ("set_id", "size", "lone", "home"))
+            home = _divided(home, sets, crowded)
             heads = [prefix(np.frombuffer(a.as_py(), _U), np.frombuffer(c.as_py(), np.uint8), int(s), int(n), t, ORDERS[0]) for a, c, s, n in zip(batch.column("tokens"), batch.column("codes"), size, lone, strict=True)]
             if not heads:
                 continue
@@ -238,7 +252,7 @@ def _index(live: DataFrame, t: float, buckets: int) -> DataFrame:
 def _pairs(t: float):  # noqa: ANN202
     def run(table: pa.Table) -> pa.Table:
         """The rows of a bucket: pairs of sets that share a token of their prefixes, smaller block first."""
-        cols = {c: [np.frombuffer(x.as_py(), k) for x in table[c]] for c, k in (("token", _U), ("place", np.uint16), ("sets", np.int64), ("sizes", np.int32), ("homes", np.int32), ("low", _U))}
+        cols = {c: [np.frombuffer(x.as_py(), k) for x in table[c]] for c, k in (("token", _U), ("place", np.uint16), ("sets", np.int64), ("sizes", np.int32), ("homes", np.int64), ("low", _U))}
         shift = np.cumsum([0, *map(len, cols["sets"])])[:-1]
         doc = np.concatenate([p.astype(np.int64) + s for p, s in zip(cols["place"], shift, strict=True)])
         token, sets, sizes, homes, low = (np.concatenate(cols[c]) for c in ("token", "sets", "sizes", "homes", "low"))
@@ -330,10 +344,12 @@ def _hits(mark: np.ndarray, rows: list[np.ndarray], which: np.ndarray) -> np.nda
 
 def similar_sets(docs: DataFrame, t: float = THRESHOLD, n: int = GRAM) -> tuple[DataFrame, DataFrame]:
     """(set_id, doc_id) of the documents that can have partners, and (a, b, jaccard) of similar distinct sets."""
-    width = min(shuffle_width(docs.sparkSession), 65_535)
-    live = fixed(_send(docs, n, min(2 * width, 65_535)).groupBy("bucket").applyInArrow(lambda x: _answer(x), _PACKED).groupBy("chunk").applyInArrow(_documents(t, 4 * width), _LIVE))
+    width = min(shuffle_width(docs.sparkSession), BUCKETS // 2)
+    live = fixed(_send(docs, n, min(2 * width, BUCKETS)).groupBy("bucket").applyInArrow(lambda x: _answer(x), _PACKED).groupBy("chunk").applyInArrow(_documents(t, 4 * width), _LIVE))
     members = live.select("set_id", F.explode("doc_ids").alias("doc_id")).distinct()
-    keyed = fixed(_index(live, t, max(4, width // 4)).groupBy("bucket").applyInArrow(_pairs(t), "a bigint, b bigint, p int, q int").distinct())
+    # one entry per block of more than BLOCK sets
+    crowded = {r["home"]: -(-r["n"] // BLOCK) for r in live.groupBy("home").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).toLocalIterator()}
+    keyed = fixed(_index(live, t, max(4, width // 4), crowded).groupBy("bucket").applyInArrow(_pairs(t), "a bigint, b bigint, p bigint, q bigint").distinct())
     asked = keyed.select(F.col("p").alias("r"), F.col("q").alias("s"), F.explode(F.array("a", "b")).alias("set_id")).distinct()
     lists = live.groupBy("set_id").agg(*(F.first(c).alias(c) for c in ("size", "lone", "tokens", "codes")))
     sent = asked.join(lists, "set_id")

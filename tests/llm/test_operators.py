@@ -128,8 +128,9 @@ def jaccard_pairs(rows, t, n=ngram_join.GRAM):
     return out
 
 
-@pytest.mark.parametrize("t", [0.4, 0.5, 0.8])
-def test_join_against_brute_force(spark, t):
+@pytest.mark.parametrize(("t", "block"), [(0.4, 5000), (0.5, 2), (0.8, 5000)])
+def test_join_against_brute_force(spark, monkeypatch, t, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks divide crowded homes
     r = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], list(r.choice(vocabulary, 60))
