@@ -18,18 +18,36 @@ from lakemill.operators.store import stored
 EOS = 256
 
 
+def byte_lists(texts: pa.Array, end: int | None) -> pa.Array:
+    """The bytes of every text as a list, and the end mark; no Python object per text."""
+    texts = pa.concat_arrays([texts.cast(pa.large_string())])
+    if not len(texts):
+        return pa.array([], pa.list_(pa.int32()))
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]].astype(np.int32) if raw is not None else np.zeros(0, np.int32)
+    off = off - off[0]
+    if end is not None:
+        data, off = np.insert(data, off[1:], end), off + np.arange(len(off))
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(data))
+
+
 def tokenize(df: DataFrame, column: str = "text", out_column: str = "input_ids", tokenizer: str | Callable[[str], list[int]] = "bytes", add_eos: bool = True, eos_id: int | None = None, n_tokens_column: str = "n_tokens") -> DataFrame:
     """Ids of bytes, or what a function gives, and an end mark; null text counts as empty."""
     x = F.coalesce(col(column), F.lit(""))
     if tokenizer == "bytes":
-        ids = F.transform(F.filter(F.split(F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "$1 "), " "), lambda h: h != ""), lambda h: F.conv(h, 16, 10).cast("int"))
-        end = EOS if eos_id is None else eos_id
+        end = (EOS if eos_id is None else eos_id) if add_eos else None
+
+        @F.arrow_udf("array<int>")
+        def ids(texts: pa.Array) -> pa.Array:
+            return byte_lists(texts, end)
+
+        out = ids(x)
     else:
-        ids = F.udf(lambda t: list(tokenizer(t)), "array<int>", useArrow=True)(x)
         if add_eos and eos_id is None:
             raise ValueError("a tokenizer of one's own needs an eos_id")
-        end = eos_id
-    out = F.concat(ids, F.array(F.lit(end))) if add_eos else ids
+        own = F.udf(lambda t: list(tokenizer(t)), "array<int>", useArrow=True)(x)
+        out = F.concat(own, F.array(F.lit(eos_id))) if add_eos else own
     return df.withColumn(out_column, out).withColumn(n_tokens_column, F.size(out_column))
 
 
