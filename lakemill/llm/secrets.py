@@ -31,7 +31,7 @@ from lakemill.llm.frames import by_chunk, with_text
 BEFORE, INSIDE, AFTER, SHORTEST = 24, 64, 8, 14
 LENGTH = BEFORE + INSIDE + AFTER
 DIM, WIDTH, FILTERS = 12, 5, 32
-RECALL, EXAMPLES, EPOCHS, SEED = 0.99, 6000, 6, 11
+RECALL, EXAMPLES, EPOCHS, SEED = 0.99, 5000, 6, 11
 MASK = "[SECRET]"
 NAMED = r"(?i)(?:pass(?:word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?[\"']?\s*(?:[:=]|=>)\s*[\"']?"
 _NAMED = regex.compile(NAMED + r"(?P<v>[^\s\"'`,;<>]{6,})")
@@ -201,8 +201,7 @@ def train(n: int = EXAMPLES, epochs: int = EPOCHS, seed: int = SEED) -> Network:
             back = (gz @ net.filters.T).reshape(len(batch), wide, WIDTH, DIM + 4)
             for k in range(WIDTH):
                 gx[:, k : k + wide] += back[:, :, k]
-            gv = np.zeros_like(net.vectors)
-            np.add.at(gv, c.ravel(), gx[..., :DIM].reshape(-1, DIM))
+            gv = np.stack([np.bincount(c.ravel(), gx[..., d].ravel(), 128) for d in range(DIM)], axis=1).astype(np.float32)
             for k, d in (("vectors", gv), ("filters", patches.T @ gz), ("bias", gz.sum(0)), ("out", pooled.T @ g)):
                 m, v = moment[k]
                 m *= 0.9
