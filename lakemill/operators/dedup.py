@@ -43,34 +43,86 @@ def optimal_lsh_bands(threshold: float, num_hashes: int, fp_weight: float = 0.5,
     return best[1], best[2]
 
 
+def recall_lsh_bands(threshold: float, num_hashes: int, recall: float = 0.9) -> tuple[int, int]:
+    """Bands and rows of the longest rows that put a pair at the threshold in a common band with probability ``recall``."""
+    for rows in range(num_hashes, 0, -1):
+        bands = num_hashes // rows
+        if 1 - (1 - threshold**rows) ** bands >= recall:
+            return bands, rows
+    return num_hashes, 1
+
+
 @functools.cache
 def _coefficients(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    r = np.random.default_rng(seed)
-    return r.integers(1, 1 << 31, num_hashes, dtype=np.uint64), r.integers(0, 1 << 61, num_hashes, dtype=np.uint64)
+    """a in [1, p - 1] and b in [0, p) by turns from a splitmix64 stream."""
+    full, out = (1 << 64) - 1, []
+    state = (seed ^ 0x9E3779B97F4A7C15) & full
+    for _ in range(2 * num_hashes):
+        state = (state + 0x9E3779B97F4A7C15) & full
+        z = ((state ^ (state >> 30)) * 0xBF58476D1CE4E5B9) & full
+        z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & full
+        out.append(z ^ (z >> 31))
+    return np.array([z % (PRIME - 1) + 1 for z in out[::2]], np.uint64), np.array([z % PRIME for z in out[1::2]], np.uint64)
+
+
+def gram_hashes(grams: list[str]) -> np.ndarray:
+    """FNV-1a of every n-gram; none of them holds a line break."""
+    data = np.frombuffer("\n".join(grams).encode(), np.uint8)
+    edge = np.flatnonzero(data == 10)
+    start, end = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(data)]])
+    order = np.argsort(start - end, kind="stable")  # the longest first, so that those still read are a prefix
+    start, size = start[order], (end - start)[order]
+    h = np.full(len(start), 0xCBF29CE484222325, np.uint64)
+    for k, n in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):
+        h[:n] ^= data[start[:n] + k]
+        h[:n] *= np.uint64(0x100000001B3)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
 
 
 def signature_of(grams: list[str], num_hashes: int, seed: int) -> np.ndarray | None:
-    """Minima of (a x + b) mod 2^61 - 1 over 30-bit hashes x of the n-grams; None of none."""
+    """Minima of (a x + b) mod 2^61 - 1, without loss of bits, over hashes x of the n-grams; None of none."""
     if not len(grams):
         return None
-    x = pd.util.hash_array(np.array(list(dict.fromkeys(grams)), dtype=object), categorize=False) >> np.uint64(34)
-    a, b = _coefficients(num_hashes, seed)
-    out = np.full(num_hashes, PRIME, np.uint64)
-    for i in range(0, len(x), 4096):
-        out = np.minimum(out, ((a[:, None] * x[None, i : i + 4096] + b[:, None]) % np.uint64(PRIME)).min(axis=1))
+    u, p = np.uint64, np.uint64(PRIME)
+    x = gram_hashes(list(dict.fromkeys(grams))) % p
+    a, b = (c[:, None] for c in _coefficients(num_hashes, seed))
+    low, high = (1 << 31) - 1, 31
+    a0, a1 = a & u(low), a >> u(high)
+    out = np.full(num_hashes, PRIME, u)
+    for i in range(0, len(x), 256):
+        x0, x1 = x[i : i + 256] & u(low), x[i : i + 256] >> u(high)
+        # products of halves by powers of 2^31; 2^61 is 1
+        mid = a0 * x1
+        mid += a1 * x0
+        total = a0 * x0
+        total += (a1 << u(1)) * x1
+        total += mid >> u(30)
+        mid &= u((1 << 30) - 1)
+        mid <<= u(31)
+        total += mid
+        total += b
+        np.right_shift(total, u(61), out=mid)
+        total &= p
+        total += mid
+        np.subtract(total, p, out=mid)
+        np.minimum(total, mid, out=total)  # what lies below p wraps to the far end
+        np.minimum(out, total.min(axis=1), out=out)
     return out.astype(np.int64)
 
 
+def _word_grams(text: str, ngram: int) -> list[str]:
+    w = text.lower().split()
+    return [" ".join(w[i : i + ngram]) for i in range(max(len(w) - ngram, 0) + 1)] if w else []
+
+
 def minhash_signatures(df: DataFrame, column: str = "text", num_hashes: int = 128, ngram: int = 2, seed: int = 1, out_column: str = "minhash") -> DataFrame:
     """Signatures of word n-grams; null for a text without words."""
 
-    def one(text: str) -> np.ndarray | None:
-        w = text.lower().split()
-        return signature_of([" ".join(w[i : i + ngram]) for i in range(max(len(w) - ngram, 0) + 1)] if w else [], num_hashes, seed)
-
     @F.pandas_udf("array<bigint>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore")
+        return texts.map(lambda t: signature_of(_word_grams(t, ngram), num_hashes, seed), na_action="ignore")
 
     return df.withColumn(out_column, run(col(column)))
 
@@ -86,18 +138,26 @@ def lsh_band_keys(signature: Column, bands: int, rows: int) -> Column:
 
 
 def fuzzy_pairs(df: DataFrame, id_column: str, column: str = "text", num_hashes: int = 128, ngram: int = 2, bands: int | None = None, threshold: float = 0.7, seed: int = 1) -> DataFrame:
-    """(a, b): pairs of ids, smaller first, whose signatures agree in at least ``threshold`` of their entries and in a band.
+    """(a, b): pairs of ids, smaller first, whose signatures agree in a band and whose sets of n-grams have a Jaccard similarity of at least ``threshold``.
 
-    Equal signatures collapse to their smallest id before pairs are made.
+    Equal signatures collapse to their smallest id before pairs are made. Sets are compared by 64-bit hashes.
     """
-    b, rows = (bands, num_hashes // bands) if bands else optimal_lsh_bands(threshold, num_hashes)
-    signed = stored(minhash_signatures(df.select(col(id_column).alias("id"), col(column).alias("text")), "text", num_hashes, ngram, seed, "sig").where("sig IS NOT NULL").select("id", "sig"))
+    b, rows = (bands, num_hashes // bands) if bands else recall_lsh_bands(threshold, num_hashes)
+
+    @F.pandas_udf("array<bigint>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(gram_hashes(_word_grams(t, ngram))).astype(np.int64))
+
+    texts = df.select(col(id_column).alias("id"), col(column).alias("text"))
+    signed = stored(minhash_signatures(texts, "text", num_hashes, ngram, seed, "sig").where("sig IS NOT NULL").select("id", "sig"))
     leaders = stored(signed.groupBy("sig").agg(F.min("id").alias("id"), F.collect_set("id").alias("all")))
     equal = leaders.where("size(all) > 1").select(F.col("id").alias("a"), F.explode("all").alias("b")).where("a <> b")
     keyed = leaders.select("id", F.explode(lsh_band_keys(F.col("sig"), b, rows)).alias("k")).select("id", "k.band", "k.key")
-    near = keyed.toDF("a", "band", "key").join(keyed.toDF("b", "band", "key"), ["band", "key"]).where("a < b").select("a", "b").distinct()
-    sig = leaders.select("id", "sig")
-    checked = near.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").where(signature_similarity(F.col("sa"), F.col("sb")) >= threshold)
+    near = stored(keyed.toDF("a", "band", "key").join(keyed.toDF("b", "band", "key"), ["band", "key"]).where("a < b").select("a", "b").distinct())
+    held = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    grams = stored(texts.join(held, "id", "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("g")))
+    both = near.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
+    checked = both.where(F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared")) >= threshold)
     return checked.select("a", "b").unionByName(equal)
 
 

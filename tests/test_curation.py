@@ -78,6 +78,41 @@ def test_fuzzy(spark):
     assert dedup.optimal_lsh_bands(0.7, 128)[0] * dedup.optimal_lsh_bands(0.7, 128)[1] <= 128
 
 
+def test_minhash_against_big_integers():
+    grams = [f"w{i} ü{i * i}" for i in range(700)] + ["a", "x" * 3000]
+    a, b = dedup._coefficients(128, 1)
+
+    def fnv(s):
+        h = 0xCBF29CE484222325
+        for c in s.encode():
+            h = ((h ^ c) * 0x100000001B3) % 2**64
+        return h
+
+    x = [fnv(g) % dedup.PRIME for g in grams]
+    assert dedup.signature_of(grams, 128, 1).tolist() == [min((i * y + j) % dedup.PRIME for y in x) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    assert dedup.signature_of([], 128, 1) is None
+
+
+def test_fuzzy_recall_and_false_links(spark):
+    # two texts of a pair share a stretch of words of their own, so that the similarity is known
+    r = np.random.default_rng(5)
+    rows, want, pairs = [], set(), 40
+    for k, share in enumerate(np.repeat([0.4, 0.5, 0.6, 0.72, 0.75, 0.8, 0.85, 0.9], pairs)):
+        n = 200
+        common = int(round(n * 2 * share / (1 + share)))
+        word = lambda: str(r.integers(1 << 60))
+        shared = [word() for _ in range(common)]
+        one, two = (shared + [word() for _ in range(n - common)] for _ in range(2))
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+        x, y = ({" ".join(w[i : i + 2]) for i in range(n - 1)} for w in (one, two))
+        if len(x & y) / len(x | y) >= 0.7:
+            want.add((2 * k, 2 * k + 1))
+    got = {(p.a, p.b) for p in dedup.fuzzy_pairs(frame(spark, rows), "id").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) == 5 * pairs
+    b, n = dedup.recall_lsh_bands(0.7, 128)
+    assert b * n <= 128 and 1 - (1 - 0.7**n) ** b >= 0.9
+
+
 def test_components_against_union_find(spark):
     r = np.random.default_rng(0)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 150, (110, 2))]
