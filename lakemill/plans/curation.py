@@ -184,6 +184,13 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(e)
 
 
+@query("connected_components_whole")
+def connected_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and the parts in them, over all of lineitem: orders are the even nodes, parts the odd ones. The recursive SQL of that many nodes is too slow."""
+    e = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("2 * l_orderkey AS a", "2 * l_partkey + 1 AS b")
+    return components.connected_components(e)
+
+
 @query("profile", f"SELECT count(*) AS rows, round(1 - count(DISTINCT {_NORM}) / count(*), 6) AS dup_rate, list_sort(list(length(text)))[least(floor(0.5 * count(*))::BIGINT + 1, count(*))] AS length_p50, list_sort(list(length(text)))[least(floor(0.95 * count(*))::BIGINT + 1, count(*))] AS length_p95 FROM documents")
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.profile(docs(spark, sf_dir)).select("rows", F.round("dup_rate", 6).alias("dup_rate"), F.col("length_p50").cast("bigint").alias("length_p50"), F.col("length_p95").cast("bigint").alias("length_p95"))

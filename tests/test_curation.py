@@ -130,6 +130,34 @@ def test_components_against_union_find(spark):
     assert got == {x: find(x) for x in parent}
 
 
+def test_components_of_whole_lineitem_against_union_find(spark, sf, tmp_path):
+    from lakemill.plans import curation
+
+    def union_find(edges):
+        parent = {x: x for e in edges for x in e}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            parent[b] = a
+        return {x: find(x) for x in parent}
+
+    # a chain of 600 orders, a hub of 900 parts, pairs that stay apart, and ids beyond any modulus
+    made = [(k // 2 + k % 2, 10_000 + k // 2) for k in range(1200)] + [(5000, 20_000 + k) for k in range(900)] + [(10**9 + k, 10**10 + k) for k in range(50)]
+    small = str(tmp_path)
+    spark.createDataFrame(made, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{small}/lineitem.parquet")
+    for d in (small, sf):
+        edges = [(2 * x.l_orderkey, 2 * x.l_partkey + 1) for x in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
+        want = union_find(edges)
+        assert {x.node: x.component for x in curation.connected_components_whole(spark, d).collect()} == want
+        assert d == sf or len(set(want.values())) == 52
+
+
 def test_substrings(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     df = frame(spark, [(1, "one " + passage + " end"), (2, "two " + passage + " fin"), (3, "short"), (4, None)])
