@@ -213,3 +213,16 @@ def test_versioned_through_relations(con, tmp_path):
     con.values("(3, 'c')").write_versioned(str(tmp_path / "v"), "append")
     assert con.read_versioned(str(tmp_path / "v")).num_rows() == 3
     assert con.read_versioned(str(tmp_path / "v"), 1, ["col1"], "col0 = 2").fetchall() == [("b",)]
+
+
+def test_joins_over_whole_tables(spark, tmp_path):
+    from lakemill.plans import relational  # noqa: F401
+    from lakemill.plans.registry import QUERIES
+
+    # customers 1 and 2 have orders, 3 to 5 none; orders 13 and 14 have no customer, 15 no key
+    spark.createDataFrame([(k,) for k in range(1, 6)], "c_custkey bigint").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, 1), (11, 2), (12, 2), (13, 8), (14, 9), (15, None)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    both, left, right = {(1, 10), (2, 11), (2, 12)}, {(3, None), (4, None), (5, None)}, {(None, 13), (None, 14), (None, 15)}
+    for how, want in {"inner": both, "left": both | left, "right": both | right, "outer": both | left | right}.items():
+        rows = [tuple(r) for r in QUERIES[f"join_whole_{how}"](spark, str(tmp_path)).select("c_custkey", "o_orderkey").collect()]
+        assert len(rows) == len(want) and set(rows) == want
