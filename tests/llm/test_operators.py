@@ -65,6 +65,27 @@ def test_secrets_spans_and_redaction(spark):
     assert out[1] == "ünter the key [SECRET] stood. More" and "hG7kPq93xTz" not in out[3] and out[2].startswith("nothing")
 
 
+def test_secrets_recall_on_whole_texts():
+    net = secrets.train()
+    made, y = secrets.examples(1500, 777)
+    r = np.random.default_rng(3)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    for lead in ("the id ", "aws_access_key_id = ") * 100:  # ids of one digit, and of none
+        key = r.choice(letters, 16)
+        key[r.integers(16)] = r.choice(list("234567"))
+        made.append(lead + "\x01" + r.choice(["AKIA", "ASIA"]) + "".join(key) + "\x02 stood")
+    y = np.concatenate([y, np.ones(200, int)])
+    caught = []
+    for t in made:
+        raw = t.encode()
+        a, b = raw.index(b"\x01"), raw.index(b"\x02") - 1
+        _, s, e, *_ = secrets._found(pa.array([t.replace("\x01", "").replace("\x02", "")]), net)
+        caught.append(bool(((s < b) & (e > a)).any()))
+    caught = np.array(caught)
+    assert caught[-200:].mean() >= 0.98 and caught[y == 1].mean() >= 0.98
+    assert caught[y == 0].mean() <= 0.03
+
+
 # 2
 
 
