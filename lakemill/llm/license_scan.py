@@ -1,11 +1,11 @@
 """License scans by conditional compression.
 
-A candidate block, a sentence or line with a word that license notices use, is compressed alone and with
+A candidate block, a sentence over its lines or a line with a word that license notices use, is compressed alone and with
 every template as a raw zstandard dictionary. Templates are ranked by the share of the size that they
 save; the best ones are confirmed by the exact differences of wording, which also tell versions apart.
 Adjoining blocks of one license are one finding.
 
-Defined results: null and empty texts and those without such a word have no findings; ties between
+Defined results: null and empty texts and those without such a word have no findings; blocks beside a finding need no such word; ties between
 templates go to the fewer differing words, then to the name. Repeated rows have equal findings, and
 columns other than doc_id and text aren't read. The whole text is read, however long.
 """
@@ -23,6 +23,13 @@ from pyspark.sql import DataFrame
 
 from lakemill.llm.frames import by_chunk
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+{}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n"
+
 TEMPLATES = {
     "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
 You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
@@ -31,10 +38,13 @@ See the License for the specific language governing permissions and limitations
     "mit": """Released under the MIT License. Licensed under the MIT License. This project is licensed under the terms of the MIT license. SPDX-License-Identifier: MIT
 Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
-    "isc": """Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. SPDX-License-Identifier: ISC""",
-    "bsd-2-clause": """Licensed under the BSD 2-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. SPDX-License-Identifier: BSD-2-Clause""",
-    "bsd-3-clause": """Licensed under the BSD 3-Clause License. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. SPDX-License-Identifier: BSD-3-Clause""",
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "isc": """Licensed under the ISC License. Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. SPDX-License-Identifier: ISC
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.
+IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "bsd-2-clause": """Licensed under the BSD 2-Clause License. """ + _BSD.format("") + """ SPDX-License-Identifier: BSD-2-Clause""",
+    "bsd-3-clause": """Licensed under the BSD 3-Clause License. """ + _BSD.format(_BSD_NAMES) + """ SPDX-License-Identifier: BSD-3-Clause""",
     "gpl-2.0": """This work is licensed under the GNU General Public License, version 2. Licensed under the GPL version 2. This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. SPDX-License-Identifier: GPL-2.0""",
     "gpl-3.0": """This work is licensed under the GNU General Public License, version 3. Licensed under the GPL version 3. This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. SPDX-License-Identifier: GPL-3.0
 You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.""",
@@ -46,7 +56,12 @@ You should have received a copy of the GNU General Public License along with thi
     "cc-by-nc-4.0": """Licensed under CC BY-NC 4.0. This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/""",
     "cc-by-nd-4.0": """Licensed under CC BY-ND 4.0. This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by-nd/4.0/""",
     "cc0-1.0": """Licensed under CC0 1.0. To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal public domain dedication.""",
-    "unlicense": """Released under the Unlicense. This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    "unlicense": """Released under the Unlicense. This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.
+We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to https://unlicense.org""",
     "proprietary": """All rights reserved. Copyright. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher. Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.""",
 }
 #: Words of which a block needs one.
@@ -56,6 +71,11 @@ CUES = r"(?i)licen[cs]|copyright|all rights|permission|redistribut|warrant|publi
 SAVED, WORDED, DIFFERING, RUNNERS = 0.35, 0.8, 0.5, 5
 _CUE = regex.compile(CUES)
 _BLOCK = regex.compile(r"\S(?:[^\n]*?(?<=[.!?])(?=\s)|[^\n]*)")
+#: Lines that a sentence has at most, an end that leaves it open, what may stand between its lines, and between the blocks of a finding.
+LINES = 40
+_OPEN = regex.compile(r"[^.!?:]\s*$")
+_WRAP = regex.compile(r"[ \t\r]*\n[ \t]*")
+_MARK = regex.compile(r"(?:\s|[*#/\-•]|\(?[0-9a-z][.)])*")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 
 
@@ -76,8 +96,8 @@ def _template_words(name: str) -> list[str]:
 
 
 @functools.lru_cache(maxsize=50_000)
-def best(block: str) -> tuple[str, float, int] | None:
-    """(license, share of the size saved, differing words) of the confirmed winner for one block."""
+def matches(block: str) -> tuple[tuple[int, float, str], ...]:
+    """(differing words, minus the share of the size saved, license) of the confirmed templates of one block, the best first."""
     alone, templates = _coders()
     raw = block.lower().encode()
     size = len(alone.compress(raw))
@@ -95,23 +115,86 @@ def best(block: str) -> tuple[str, float, int] | None:
             differ = len(words) - matched + inside
             if differ <= DIFFERING * len(words):
                 found.append((differ, -saved, name))
-    if not found:
-        return None
-    differ, saved, name = min(found)
-    return name, -saved, differ
+    return tuple(sorted(found))
 
 
-def findings(text: str) -> list[tuple[int, int, str, float, int]]:
-    """(first character, character after the last, license, saved, differing words) of every finding."""
-    out: list[tuple[int, int, str, float, int]] = []
+def best(block: str) -> tuple[str, float, int] | None:
+    """(license, share of the size saved, differing words) of the confirmed winner for one block."""
+    found = matches(block)
+    return (found[0][2], -found[0][1], found[0][0]) if found else None
+
+
+def _sentences(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """First character, character after the last, and lines or parts of lines, of every sentence; a blank line ends one, a line's end doesn't."""
+    out: list[tuple[int, int, list[tuple[int, int]]]] = []
     for m in _BLOCK.finditer(text):
-        if not _CUE.search(m[0]) or (hit := best(m[0])) is None:
-            continue
-        if out and out[-1][2] == hit[0] and not text[out[-1][1] : m.start()].strip():
-            a, _, name, saved, differ = out[-1]
-            out[-1] = (a, m.end(), name, max(saved, hit[1]), differ + hit[2])
+        if out and _OPEN.search(text[out[-1][0] : out[-1][1]][-8:]) and len(out[-1][2]) < LINES and _WRAP.fullmatch(text[out[-1][1] : m.start()]):
+            out[-1] = (out[-1][0], m.end(), [*out[-1][2], m.span()])
+        else:
+            out.append((*m.span(), [m.span()]))
+    return out
+
+
+def _trimmed(text: str, lines: list[tuple[int, int]]) -> tuple[int, int]:
+    """The first line and that after the last of a confirmed sentence without the lines at its ends that add no word of the template."""
+    i, j = 0, len(lines)
+    differ, _, name = matches(text[lines[0][0] : lines[-1][1]])[0]
+    while j - i > 1:
+        for k, m, edge in ((i + 1, j, i), (i, j - 1, j - 1)):
+            less = next((d for d, _, x in matches(text[lines[k][0] : lines[m - 1][1]]) if x == name), None)
+            if less is not None and less == differ - len(_WORD.findall(text[slice(*lines[edge])])):
+                i, j, differ = k, m, less
+                break
+        else:
+            break
+    return i, j
+
+
+def findings(text: str) -> list[tuple[int, int, str, float, int]]:
+    """(first character, character after the last, license, saved, differing words) of every finding.
+
+    A wrapped sentence counts whole where a template confirms it, else by its lines. From those that hold a cue, findings grow
+    over adjoining ones that don't. Adjoining blocks go together while a license is among the best of each of them; which of
+    several it is, the whole decides.
+    """
+    blocks: list[tuple[int, int]] = []
+    for a, b, lines in _sentences(text):
+        if len(lines) == 1 or not _CUE.search(text[a:b]):
+            blocks.append((a, b))
+        elif matches(text[a:b]):
+            i, j = _trimmed(text, lines)
+            blocks += [*lines[:i], (lines[i][0], lines[j - 1][1]), *lines[j:]]
+        else:
+            blocks += lines
+    hits: dict[int, tuple] = {i: found for i, (a, b) in enumerate(blocks) if _CUE.search(text[a:b]) and (found := matches(text[a:b]))}
+    for step in (1, -1):
+        for i in sorted(hits, reverse=step < 0):
+            j = i + step
+            while 0 <= j < len(blocks) and j not in hits:
+                a, b = blocks[j]
+                if _MARK.fullmatch(text[a:b]):
+                    j += step
+                    continue
+                same = {name for _, _, name in hits[i]}
+                found = tuple(x for x in matches(text[a:b]) if x[2] in same)
+                if not found:
+                    break
+                hits[j] = found
+                i, j = j, j + step
+    groups: list[tuple[int, int, set[str], list[tuple]]] = []
+    for i in sorted(hits):
+        (a, b), found = blocks[i], hits[i]
+        names = {name for differ, _, name in found if differ == found[0][0]}
+        if groups and names & groups[-1][2] and _MARK.fullmatch(text[groups[-1][1] : a]):
+            groups[-1] = (groups[-1][0], b, names & groups[-1][2], [*groups[-1][3], found])
         else:
-            out.append((m.start(), m.end(), *hit))
+            groups.append((a, b, names, [found]))
+    out = []
+    for a, b, names, each in groups:
+        name = next((x for _, _, x in matches(text[a:b]) if x in names), None) if len(each) > 1 and len(names) > 1 else None
+        name = name or next(x for _, _, x in each[0] if x in names)
+        own = [next(x for x in found if x[2] == name) for found in each]
+        out.append((a, b, name, max(-saved for _, saved, _ in own), sum(differ for differ, _, _ in own)))
     return out
 
 

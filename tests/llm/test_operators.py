@@ -237,6 +237,27 @@ def test_licenses():
     assert {f[2] for f in license_scan.findings(whole)} == {"mit"}
 
 
+def test_short_licenses_whole_and_wrapped():
+    import textwrap
+
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause"):
+        body = [x for x in license_scan.TEMPLATES[name].split("SPDX")[0].split("\n") if x.strip()] + license_scan.TEMPLATES[name].split("SPDX")[1].split("\n")[1:]
+        body[0] = body[0][body[0].index("Permission" if name == "isc" else "Redistribution") :] if name != "mit" else ""
+        body = [x.strip() for x in body if x]
+        if name.startswith("bsd"):
+            last = 4 if name == "bsd-3-clause" else 3
+            body[1:last] = [f"{i}. {x}" for i, x in enumerate(body[1:last], 1)]
+        for text in ("\n\n".join(body), "\n\n".join(textwrap.fill(x, 78) for x in body)):
+            text = "Prose stands before.\n\n" + text
+            found = license_scan.findings(text)
+            assert [f[2] for f in found] == [name], (name, found)
+            assert text[found[0][0] : found[0][1]] == text[len("Prose stands before.\n\n") :]
+    for line, name in (("Licensed under the MIT License.", "mit"), ("SPDX-License-Identifier: MIT", "mit")):
+        for before in ("words of prose\n", "Wh\n", "|\n"):
+            found = license_scan.findings(f"{before}{line}\nmore words of prose")
+            assert [f[:3] for f in found] == [(len(before), len(before + line), name)]
+
+
 def test_licenses_hard(spark, hard, empty):
     assert license_scan.scan(hard).count() == 0 and license_scan.scan(empty).count() == 0
     long = spark.createDataFrame([(1, "word " * 100_000 + "\nAll rights reserved.")], "doc_id bigint, text string")
