@@ -140,7 +140,7 @@ def model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("blend_datasets")
 def blend_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return tx.blend_datasets([d.where("lang = 'en'"), d.where("lang <> 'en'")], "doc_id", [3, 1], 400).select("doc_id", "lang")
+    return tx.blend_datasets([d.where("lang = 'en'"), d.where("lang IS DISTINCT FROM 'en'")], "doc_id", [3, 1]).select("doc_id", "lang")
 
 
 @query("sample_dropped")
