@@ -21,7 +21,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.pairs(table(spark, sf_dir, "documents"))
+    """(doc_id, class_id, links) of every document with a similar one."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {"op3_ngram_join": ngram_join.PAIRS_SQL, "op10_decontaminate": decontaminate.SPANS_SQL}
+SQL: dict[str, str] = {"op3_ngram_join": ngram_join.CLASSES_SQL, "op10_decontaminate": decontaminate.SPANS_SQL}
