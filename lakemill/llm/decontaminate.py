@@ -19,17 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakemill.llm import kernel
+from lakemill.llm.chars import ragged
 from lakemill.llm.frames import by_chunk, with_text
 
 PHRASE, SHORTEST = 8, 5
 SHARD_BYTES, SAMPLE = 2 << 20, 16
-#: The benchmark's texts go to every worker; beyond this size it has to be given in parts.
-BENCHMARK_BYTES = 256 << 20
-_WORD = regex.compile(r"[\p{L}\p{N}\p{M}]+")
+#: The benchmark's phrases go to every worker; its texts divide into parts of about this size, which a worker reads one at a time.
+BENCHMARK_BYTES = 16 << 20
 
 
 def suffixes(seq: np.ndarray) -> np.ndarray:
@@ -122,28 +123,27 @@ class Phrases:
 
     @classmethod
     def of(cls, texts: pa.Array) -> Phrases:
-        if texts.nbytes > BENCHMARK_BYTES:
-            raise ValueError(f"the benchmark has {texts.nbytes} bytes; give it in parts of {BENCHMARK_BYTES}")
         w = kernel.words(texts)
         vocabulary = np.unique(w.hashes)
-        symbols = np.searchsorted(vocabulary, w.hashes) + 1
-        found = set()
-        for a, b in zip(w.first, w.first[1:], strict=False):
-            if b - a >= SHORTEST:
-                for i in range(a, max(a + 1, b - PHRASE + 1)):
-                    found.add(tuple(symbols[i : min(i + PHRASE, b)].tolist()))
-        ordered = sorted(found)
-        rows = np.zeros((len(ordered), PHRASE), np.int64)
-        for i, p in enumerate(ordered):
-            rows[i, PHRASE - len(p) :] = p
-        return cls(vocabulary, rows, np.array([len(p) for p in ordered], np.int64))
-
-    def spans(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document, first word and word after the last of every merged span."""
+        symbols = np.searchsorted(vocabulary, w.hashes).astype(np.int32) + 1
+        count, first = np.diff(w.first), w.first[:-1]
+        rows = [symbols[ragged(first[count >= PHRASE], count[count >= PHRASE] - PHRASE + 1)[:, None] + np.arange(PHRASE)]] if (count >= PHRASE).any() else []
+        for n in range(SHORTEST, PHRASE):
+            rows.append(np.zeros(((count == n).sum(), PHRASE), np.int32))
+            rows[-1][:, PHRASE - n :] = symbols[first[count == n][:, None] + np.arange(n)]
+        rows = np.concatenate(rows)
+        order = np.lexsort(rows.T[::-1])
+        rows = rows[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        rows = rows[new]
+        return cls(vocabulary, rows, (rows > 0).sum(axis=1))
+
+    def places(self, w: kernel.Words) -> tuple[np.ndarray, np.ndarray]:
+        """First word and word after the last of every occurrence, counted over all words of the shard."""
         none = np.zeros(0, np.int64)
         if not len(self.rows):
-            return none, none, none
-        w = kernel.words(texts)
+            return none, none
         n = len(w.hashes)
         quick = np.zeros(1 << 16, bool)
         quick[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
@@ -155,7 +155,7 @@ class Phrases:
         long = e - s >= self.length.min()
         s, e = s[long], e[long]
         if not len(s):
-            return none, none, none
+            return none, none
         size = e - s + 1  # with a break after each stretch
         begin = np.cumsum(size) - size
         place = np.arange(int(size.sum())) + np.repeat(s - begin, size)
@@ -165,13 +165,32 @@ class Phrases:
         here[seq] = here[0] = True
         asked = np.flatnonzero(here[self.rows].all(axis=1))
         if not len(asked):
-            return none, none, none
+            return none, none
         index = FMIndex(seq, len(self.vocabulary) + 1)
         lo, hi = index.search(self.rows[asked], self.length[asked])
         count = np.maximum(hi - lo, 0)
         rows = np.arange(int(count.sum())) + np.repeat(lo - (np.cumsum(count) - count), count)
         start = place[index.locate(rows)]
-        stop = start + np.repeat(self.length[asked], count)
+        return start, start + np.repeat(self.length[asked], count)
+
+
+class Shared:
+    """The benchmark's phrases on all workers, in parts of bounded size."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame) -> None:
+        texts = benchmark.select("text").where("text IS NOT NULL")
+        parts = max(1, -(-(texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0) // BENCHMARK_BYTES))
+        part = lambda i: texts.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == i) if parts > 1 else texts
+        self.parts = [docs.sparkSession.sparkContext.broadcast(Phrases.of(part(i).toArrow()["text"].combine_chunks())) for i in range(parts)]
+
+    def spans(self, w: kernel.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Document, first word and word after the last of every merged span, words counted over all of the shard."""
+        found = []
+        for part in self.parts:
+            found.append(part.value.places(w))
+            if len(self.parts) > 1:
+                del part._value  # a worker keeps one part at a time
+        start, stop = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((stop, start))
         start, stop = start[order], stop[order]
         doc = np.searchsorted(w.first, start, side="right") - 1
@@ -180,42 +199,49 @@ class Phrases:
         new[1:] = (start[1:] > reach[:-1]) | (doc[1:] != doc[:-1])
         head = np.flatnonzero(new)
         last = np.append(head[1:], len(start)) - 1 if len(head) else head
-        return doc[head], start[head] - w.first[doc[head]], reach[last] - w.first[doc[head]]
-
-
-def phrases(benchmark: DataFrame) -> Phrases:
-    """The benchmark's phrases, gathered on the driver; their size is checked."""
-    return Phrases.of(benchmark.select("text").where("text IS NOT NULL").toArrow()["text"].combine_chunks())
+        return doc[head], start[head], reach[last]
 
 
 def spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, first_word, last_word) of every removal span, counted from 0; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases(benchmark))
+    shared = Shared(docs, benchmark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, a, b = shared.value.spans(batch.column("text"))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(a, pa.int64()), pa.array(b - 1, pa.int64())], ["doc_id", "first_word", "last_word"])
+        w = kernel.words(batch.column("text"))
+        doc, a, b = shared.spans(w)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(a - w.first[doc], pa.int64()), pa.array(b - 1 - w.first[doc], pa.int64())], ["doc_id", "first_word", "last_word"])
 
     return by_chunk(docs.select("doc_id", "text"), run, "doc_id bigint, first_word bigint, last_word bigint", limit=SHARD_BYTES)
 
 
+def cut(texts: pa.Array, w: kernel.Words, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """The texts without the spans of words a .. b - 1.
+
+    The words' places are in the normalised text, which has a character for each of the original.
+    """
+    before = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    begin = before[w.docs]
+    out: list = [None] * len(texts)
+    hit = np.unique(doc)
+    for d, text in zip(hit.tolist(), texts.take(pa.array(hit)).to_pylist(), strict=True):
+        mine, kept, done = doc == d, [], 0
+        for i, j in zip((before[w.start[a[mine]]] - begin[d]).tolist(), (before[w.end[b[mine] - 1]] - begin[d]).tolist(), strict=True):
+            kept.append(text[done:i])
+            done = j
+        out[d] = "".join([*kept, text[done:]])
+    changed = np.zeros(len(texts), bool)
+    changed[hit] = True
+    return pc.if_else(pa.array(changed), pa.array(out, texts.type), texts)
+
+
 def remove(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without their removal spans, with all their columns; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(phrases(benchmark))
+    shared = Shared(docs, benchmark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, a, b = shared.value.spans(batch.column("text"))
-        if not len(doc):
-            return batch
-        texts = batch.column("text").to_pylist()
-        for d in np.unique(doc).tolist():
-            at = [m.span() for m in _WORD.finditer(texts[d])]
-            mine, kept, done = doc == d, [], 0
-            for i, j in zip(a[mine].tolist(), b[mine].tolist(), strict=True):
-                kept.append(texts[d][done : at[i][0]])
-                done = at[j - 1][1]
-            texts[d] = "".join([*kept, texts[d][done:]])
-        return with_text(batch, pa.array(texts, pa.string()))
+        w = kernel.words(batch.column("text"))
+        doc, a, b = shared.spans(w)
+        return with_text(batch, cut(batch.column("text"), w, doc, a, b)) if len(doc) else batch
 
     return by_chunk(docs, run, docs.schema, limit=SHARD_BYTES)
 
