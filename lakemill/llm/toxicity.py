@@ -2,7 +2,8 @@
 
 The score of a document is b + sum(w_i) + sum over pairs of <v_i, v_j> over the distinct terms that it
 holds, so that terms that are harmless alone can count together. Terms are words hashed to BUCKETS
-buckets; those whose share among toxic and other labelled documents doesn't differ clearly carry weight 0.
+buckets. The fit is over those that tell toxic from other labelled documents alone, by the difference of
+their shares, or in a pair, by the difference of the covariances of any two terms; the others carry weight 0.
 
 Defined results: null and empty texts hold no term and score b; without labelled rows of both kinds no
 document is toxic. A term counts once however often it is repeated, copies score alike, and columns
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from lakemill.llm import kernel
 from lakemill.llm.frames import TRAIN_ROWS, by_chunk, labelled, lists
 
-BUCKETS, FACTORS, TERMS = 1 << 20, 4, 4096
+BUCKETS, FACTORS = 1 << 20, 4
+#: Documents that a term is in at least, and toxic ones if it is looked at in pairs; standard errors that a difference has to exceed.
+LEAST, PAIRED, ALONE, TOGETHER = 4, 10, 5.0, 12.0
 EPOCHS, RATE, DECAY = 150, 0.05, 2e-4
 
 
@@ -62,6 +65,38 @@ class Machine:
         return out
 
 
+def paired(buckets: np.ndarray, doc: np.ndarray, terms: np.ndarray, y: np.ndarray, step: int = 2048) -> np.ndarray:
+    """Which of the terms occur with some other otherwise in toxic documents than in the rest, each one's own share apart."""
+    place = np.full(BUCKETS, -1)
+    place[terms] = np.arange(len(terms))
+    at = place[buckets]
+    doc, at = doc[at >= 0], at[at >= 0]
+    told = np.zeros(len(terms), bool)
+    used = np.unique(doc)
+    toxic = y[used] == 1
+    sides = [used[toxic], used[~toxic]]
+    share = [np.bincount(at[y[doc] == k], minlength=len(terms)) / max(len(d), 1) for k, d in ((1, sides[0]), (0, sides[1]))]
+    row = np.searchsorted(used, doc)
+    edge = np.searchsorted(row, np.arange(0, len(used) + step, step))
+    for a in range(0, len(terms), step):
+        both = [np.zeros((min(step, len(terms) - a), len(terms)), np.float32) for _ in sides]
+        for i, (p, q) in enumerate(zip(edge, edge[1:], strict=False)):
+            x = np.zeros((min(step, len(used) - i * step), len(terms)), np.float32)
+            x[row[p:q] - i * step, at[p:q]] = 1
+            for k, side in ((0, toxic), (1, ~toxic)):
+                own = x[side[i * step : i * step + step]]
+                both[k] += own[:, a : a + step].T @ own
+        differ, error = np.zeros_like(both[0]), np.full(both[0].shape, 1e-12, np.float32)
+        for k, sign in ((0, 1), (1, -1)):
+            n, p, q = max(len(sides[k]), 1), share[k][a : a + step, None].astype(np.float32), share[k][None].astype(np.float32)
+            differ += sign * (both[k] / n - p * q)
+            error += (p * (1 - p) + 1 / n) * (q * (1 - q) + 1 / n) / n
+        far = np.abs(differ) > TOGETHER * np.sqrt(error)
+        far[np.arange(far.shape[0]), a + np.arange(far.shape[0])] = False
+        told[a : a + step] |= far.any(axis=1)
+    return told
+
+
 def fit(buckets: np.ndarray, first: np.ndarray, y: np.ndarray) -> Machine:
     """Fits on four fifths of the rows; the threshold is the middle of those with the best F1 on the rest."""
     none = Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), -50.0, np.inf)
@@ -75,9 +110,11 @@ def fit(buckets: np.ndarray, first: np.ndarray, y: np.ndarray) -> Machine:
     np_, nn = max((~held & (y == 1)).sum(), 1), max((~held & (y == 0)).sum(), 1)
     share = (pos + neg + 1) / (np_ + nn + 2)
     z = (pos / np_ - neg / nn) / np.sqrt(share * (1 - share) * (1 / np_ + 1 / nn))
-    z[pos + neg < 4] = 0
-    chosen = np.argsort(-np.abs(z), kind="stable")[:TERMS]
-    chosen = np.sort(chosen[np.abs(z[chosen]) > 5.0])
+    z[pos + neg < LEAST] = 0
+    told = np.abs(z) > ALONE
+    common = np.flatnonzero((pos >= PAIRED) & (neg >= PAIRED))
+    told[common[paired(buckets[train], doc[train], common, y)]] = True
+    chosen = np.flatnonzero(told)
     if not len(chosen):
         return none
     place = np.full(BUCKETS, -1)
