@@ -4,7 +4,8 @@ Greedy longest-match pieces of a word are counted without building them. The voc
 failure links: a link from a node leads to the node of what is left when the longest pieces that cover
 the node's string from its start are popped, and holds how many pieces that are. Reading a character
 follows links, adding their counts, until the node has a child for it. All distinct words of a chunk
-move through the automaton side by side.
+move through the automaton side by side; the few longest go on one by one, so that a word costs its own
+length alone however long it is.
 
 A word is a run of characters other than white space, read with the word mark (byte 0x20) before it.
 Defined results: null text has a null count, an empty or blank text 0; a word with a part that no piece
@@ -25,6 +26,8 @@ from lakemill.llm.chars import SPACE, classes, distinct, points
 from lakemill.llm.frames import by_chunk
 
 MARK = 0x20
+#: Words that are still being read, below which they go on one by one.
+ABREAST = 48
 _DEAD = -1
 
 
@@ -64,6 +67,7 @@ class Automaton:
         to = np.array([t for k in kids for t in k.values()] or [_DEAD])
         order = np.argsort(key)
         self.keys, self.child = key[order], to[order]
+        self.edges: dict[int, int] = {}
 
     def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node * 256 + byte
@@ -86,6 +90,25 @@ class Automaton:
             left, at = left[~done], at[~done]
         return to
 
+    def rest(self, node: int, count: int, data: bytes) -> tuple[int, int]:
+        """The node and the count after all bytes of one word's rest."""
+        if not self.edges:
+            self.edges = dict(zip(self.keys.tolist(), self.child.tolist(), strict=True))
+            self.links = list(zip(self.fail.tolist(), self.popped.tolist(), strict=True))
+        edges, links = self.edges, self.links
+        if node == _DEAD:
+            return node, count
+        for c in data:
+            to = edges.get(node * 256 + c)
+            while to is None:
+                node, n = links[node]
+                count += n
+                if node == _DEAD:
+                    return node, count
+                to = edges.get(node * 256 + c)
+            node = to
+        return node, count
+
     def lengths(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Pieces of the word mark followed by each byte slice; 1 where no cover exists."""
         order = np.argsort(start - end, kind="stable")  # longest first: those still reading are a prefix
@@ -95,6 +118,10 @@ class Automaton:
         active = len(s)
         for i in range(int(size[0]) if len(size) else 0):
             active = int(np.searchsorted(-size, -i, side="left"))
+            if active < ABREAST:
+                for k in range(active):
+                    node[k], count[k] = self.rest(int(node[k]), int(count[k]), data[s[k] + i : s[k] + size[k]].tobytes())
+                break
             node[:active] = self.read(node[:active], data[s[:active] + i].astype(np.int64), count[:active])
         ok = node != _DEAD
         while True:  # what is left in the automaton at the end of the word
