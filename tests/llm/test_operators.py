@@ -1,10 +1,12 @@
 """Each operator against brute force, an exact round trip or held-out accuracy, and on hard inputs."""
 
 import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,20 @@ def test_quality_hard(spark, hard, empty):
     assert quality.score(empty, m).count() == 0 and quality.train(empty, labels).threshold == -np.inf
 
 
+def test_quality_fitted_meets_hard_rows(spark, hard, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    m = quality.train(docs, labels)
+    assert m.tables is not None
+    out = quality.score(hard, m).collect()
+    for r in out:
+        of = [t for d, t, *_ in HARD if d == r.doc_id][0]
+        s = m.score(quality.features(pa.array([of], pa.string())))[0]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-s))) and r.keep == (s >= m.threshold)
+    kept = quality.keep(hard, m)
+    assert len(out) == len(HARD) and kept.schema == hard.schema and kept.count() == sum(r.keep for r in out)
+    assert quality.score(empty, m).count() == quality.keep(empty, m).count() == 0
+
+
 # 3
 
 
@@ -152,6 +168,10 @@ def jaccard_pairs(rows, t, n=ngram_join.GRAM):
 @pytest.mark.parametrize(("t", "block"), [(0.4, 5000), (0.5, 2), (0.8, 5000)])
 def test_join_against_brute_force(spark, monkeypatch, t, block):
     monkeypatch.setattr(ngram_join, "BLOCK", block)  # small blocks divide crowded homes
+    if block == 2:  # and small tiles the documents of common tokens
+        monkeypatch.setattr(ngram_join, "TILE", 3)
+        monkeypatch.setattr(ngram_join, "_FREQUENT", 3)
+        monkeypatch.setattr(ngram_join, "PAIRS", 5)
     r = np.random.default_rng(5)
     vocabulary = [f"w{i}" for i in range(400)]
     rows, passage = [], list(r.choice(vocabulary, 60))
@@ -169,7 +189,7 @@ def test_join_against_brute_force(spark, monkeypatch, t, block):
     want = jaccard_pairs(rows, t)
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    # one document of each group stays
+    # classes and links
     parent = {d: d for d, _ in rows}
 
     def find(x):
@@ -180,15 +200,23 @@ def test_join_against_brute_force(spark, monkeypatch, t, block):
     for a, b in want:
         a, b = sorted((find(a), find(b)))
         parent[b] = a
+    links = Counter(x for pair in want for x in pair)
+    assert {tuple(r) for r in ngram_join.classes(df, t).collect()} == {(d, find(d), n) for d, n in links.items()}
+    # one document of each group stays
     kept = [r.doc_id for r in ngram_join.deduplicate(df, t).collect()]
     assert sorted(k for k in kept if k is not None) == sorted({find(d) for d, _ in rows if d is not None}) and None in kept
 
 
-def test_join_in_sql(spark, sf):
-    duckdb.sql(f"create or replace view documents as select * from '{sf}/documents.parquet'")
-    want = {(a, b): j for a, b, j in duckdb.sql(ngram_join.PAIRS_SQL).fetchall()}
-    got = {(r[0], r[1]): r[2] for r in ngram_join.pairs(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
-    assert got == want and want
+def test_join_in_sql(spark, sf, hard):
+    hard.select("doc_id", "text").union(spark.createDataFrame([(5, "other words of the same id"), (20, "other words of the same id")], "doc_id bigint, text string")).createOrReplaceTempView("rows_of_hard")
+    for df, view in ((spark.read.parquet(f"{sf}/documents.parquet"), None), (spark.table("rows_of_hard"), "rows_of_hard")):
+        arrow = df.select("doc_id", "text").toArrow() if view else duckdb.sql(f"select * from '{sf}/documents.parquet'").to_arrow_table()
+        con = duckdb.connect()
+        con.register("documents", arrow)
+        want = {(a, b): j for a, b, j in con.sql(ngram_join.PAIRS_SQL).fetchall()}
+        got = {(r[0], r[1]): r[2] for r in ngram_join.pairs(df).collect()}
+        assert got == want and want
+        assert sorted(tuple(r) for r in ngram_join.classes(df).collect()) == sorted(con.sql(ngram_join.CLASSES_SQL).fetchall())
 
 
 def test_prefixes_share_tokens_under_every_order():
@@ -205,13 +233,24 @@ def test_prefixes_share_tokens_under_every_order():
 
 
 def test_join_hard(hard, empty):
-    assert {(r[0], r[1]) for r in ngram_join.pairs(hard).collect()} == {(5, 7)} - {(5, 7)}
-    assert ngram_join.pairs(empty).count() == 0
+    assert ngram_join.pairs(hard).count() == 0 and ngram_join.pairs(empty).count() == 0
+    assert [tuple(r) for r in ngram_join.classes(hard).collect()] == [(5, 5, 1)] and ngram_join.classes(empty).count() == 0
     kept = ngram_join.deduplicate(hard)
     assert kept.count() == len(HARD) and kept.schema == hard.schema
     assert ngram_join.deduplicate(empty).count() == 0
 
 
+def test_join_of_a_passage_in_many_documents(spark, monkeypatch):
+    """A passage that makes up most of 1,500 different documents: all are linked with all, in tiles and blocks."""
+    monkeypatch.setattr(ngram_join, "TILE", 400)
+    monkeypatch.setattr(ngram_join, "_FREQUENT", int(ngram_join._code(np.array([400]))[0]))
+    monkeypatch.setattr(ngram_join, "BLOCK", 300)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, f"{passage} a{d} b{d} c{d}") for d in range(1500)] + [(d, f"{passage} a{d} b{d} c{d}") for d in range(3000, 3500)] + [(5000, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {tuple(r) for r in ngram_join.classes(df).collect()} == {(d, 0, 1999) for d, _ in rows[:-1]}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 1.0)], "a bigint, b bigint, jaccard double")
     got = {r.node: r.root for r in ngram_join.components(edges).collect()}
@@ -298,6 +337,36 @@ def test_toxicity_learns_a_pair():
     assert s[0] == pytest.approx(brute)
 
 
+def test_toxicity_learns_what_no_term_says_alone(spark):
+    """Both terms are as frequent in toxic texts as in others; only whether they agree counts."""
+    r = np.random.default_rng(4)
+    a, b = r.random(3000) < 0.5, r.random(3000) < 0.5
+    fill = [f"f{i}" for i in range(40)]
+    rows = [" ".join([*(["fool"] if x else []), *(["group"] if z else []), *r.choice(fill, 5)]) for x, z in zip(a, b, strict=True)]
+    y = (a == b).astype(int)
+    m = toxicity.fit(*toxicity.terms(pa.array(rows[:2500])), y[:2500])
+    place, wanted = m.table()
+    bk, first = toxicity.terms(pa.array(rows[2500:]), wanted)
+    p, truth = m.score(place[bk], first) >= m.threshold, y[2500:] == 1
+    assert 2 * (p & truth).sum() / (p.sum() + truth.sum()) >= 0.9
+    linear = toxicity.Machine(m.chosen, m.w, np.zeros_like(m.v), m.base, 0.0)
+    s = linear.score(place[bk], first)
+    assert max(2 * ((s >= c) & truth).sum() / ((s >= c).sum() + truth.sum()) for c in np.unique(s)) < 0.75
+
+
+def test_toxicity_fitted_meets_hard_rows(spark, hard, empty, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    m = toxicity.train(docs, labels)
+    assert len(m.chosen)
+    out = toxicity.score(hard, m).collect()
+    place, wanted = m.table()
+    for r in out:
+        of = [t for d, t, *_ in HARD if d == r.doc_id][0]
+        b, first = toxicity.terms(pa.array([of], pa.string()), wanted)
+        assert r.score == pytest.approx(m.score(place[b], first)[0]) and r.toxic == (r.score >= m.threshold)
+    assert len(out) == len(HARD) and toxicity.score(empty, m).count() == 0
+
+
 def test_toxicity_hard(spark, hard, empty):
     labels = spark.createDataFrame([(4, 1, 1)], "doc_id bigint, quality int, toxic int")
     m = toxicity.train(hard, labels)
@@ -367,6 +436,23 @@ def test_token_counts_with_gaps():
     assert a.lengths(data, s, e).tolist() == [greedy(w.encode(), pieces) for w in words]
 
 
+def test_token_counts_of_long_words(monkeypatch):
+    import time
+
+    a = token_count.automaton(bpe.VOCABULARY)
+    r = np.random.default_rng(8)
+    words = ["".join(r.choice(list("theingdoa日本語é7"), int(n))) for n in r.integers(1, 3000, 60)]
+    data, s, e, _ = token_count.spans(pa.array(words))
+    one_by_one = a.lengths(data, s, e)
+    monkeypatch.setattr(token_count, "ABREAST", 0)
+    assert (a.lengths(data, s, e) == one_by_one).all()
+    monkeypatch.undo()
+    data, s, e, _ = token_count.spans(pa.array(["".join(r.choice(list("theingdoa"), 1_000_000))]))
+    began = time.perf_counter()
+    a.lengths(data, s, e)
+    assert time.perf_counter() - began < 4
+
+
 def test_token_counts_hard(hard, empty):
     out = {r.doc_id: r.n_tokens for r in token_count.count(hard).collect()}
     assert out[1] is None and out[2] == 0 and out[3] == 0 and out[7] == 30_000 and token_count.count(empty).count() == 0
@@ -476,6 +562,75 @@ def test_decontaminate_removes_spans(spark, hard, empty):
     assert decontaminate.remove(empty, bench).count() == 0 and decontaminate.remove(hard, bench).schema == hard.schema
 
 
+def removed_by_hand(text, phrases):
+    """The text without the benchmark's phrases, by comparing words one by one."""
+    norm = pa.compute.replace_substring_regex(pa.compute.utf8_lower(pa.array([text])), pattern=r"[^\p{L}\p{N}\p{M}]", replacement=" ")[0].as_py()
+    assert len(norm) == len(text)
+    words = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^ ]+", norm)]
+    gone = [False] * len(words)
+    for n in {len(p) for p in phrases}:
+        for i in range(len(words) - n + 1):
+            if tuple(w[2] for w in words[i : i + n]) in phrases:
+                gone[i : i + n] = [True] * n
+    out, done, i = [], 0, 0
+    while i < len(words):
+        if gone[i]:
+            j = i
+            while j < len(words) and gone[j]:
+                j += 1
+            out.append(text[done : words[i][0]])
+            done, i = words[j - 1][1], j
+        else:
+            i += 1
+    return "".join([*out, text[done:]])
+
+
+def phrases_by_hand(items):
+    out = set()
+    for x in items:
+        w = re.findall(r"[^ ]+", pa.compute.replace_substring_regex(pa.compute.utf8_lower(pa.array([x])), pattern=r"[^\p{L}\p{N}\p{M}]", replacement=" ")[0].as_py())
+        if len(w) >= decontaminate.SHORTEST:
+            out |= {tuple(w[i : i + decontaminate.PHRASE]) for i in range(max(len(w) - decontaminate.PHRASE, 0) + 1)}
+    return out
+
+
+def test_decontaminate_removes_what_brute_force_does(spark, sf, monkeypatch):
+    items = [x for x in texts(sf, "benchmark", ident="item_id")["text"].to_pylist() if x]
+    phrases = phrases_by_hand(items)
+    docs, bench = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "benchmark"))
+    want = {d: removed_by_hand(t, phrases) for d, t in zip(*texts(sf).to_pydict().values(), strict=True)}
+    assert {r.doc_id: r.text for r in decontaminate.remove(docs, bench).collect()} == want
+    assert want != dict(zip(*texts(sf).to_pydict().values(), strict=True))
+    monkeypatch.setattr(decontaminate, "BENCHMARK_BYTES", 1500)  # in parts
+    assert {r.doc_id: r.text for r in decontaminate.remove(docs, bench).collect()} == want
+
+
+def test_decontaminate_beside_every_character(spark):
+    """Letters that one table of characters knows and another doesn't, and those whose lower case has another length."""
+    import sys
+    import unicodedata
+
+    import regex
+
+    odd = [c for c in map(chr, range(0x80, sys.maxunicode)) if not 0xD800 <= ord(c) < 0xE000 and (bool(regex.match(r"[\p{L}\p{N}\p{M}]", c)) != (unicodedata.category(c)[0] in "LNM") or len(c.lower().encode()) != len(c.encode()))]
+    odd += ["\u0558", "\u0897", "\u088f", "İ", "\U0001f600", "\u0130\u0307"]
+    phrase = "alpha beta gamma delta epsilon zeta eta theta"
+    lines = [f"ab{c}cd {phrase} {c} keep{c}this. {phrase}{c} end" for c in odd]
+    rows = [(i, "\n".join(lines[i : i + 100])) for i in range(0, len(lines), 100)]
+    bench = spark.createDataFrame([(1, phrase)], "item_id bigint, text string")
+    out = {r.doc_id: r.text for r in decontaminate.remove(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()}
+    p = phrases_by_hand([phrase])
+    assert len(odd) > 100 and out == {i: removed_by_hand(t, p) for i, t in rows}
+
+
+def test_decontaminate_meets_hard_rows(spark, hard):
+    bench = spark.createDataFrame([(1, "word word word word word word word word"), (2, "no id here at all, none"), (3, "längere Wörter über ½ und 日本語")], "item_id bigint, text string")
+    out = sorted(((r.doc_id, r.text) for r in decontaminate.remove(hard, bench).collect()), key=repr)
+    p = phrases_by_hand([r.text for r in bench.collect()])
+    assert out == sorted(((r[0], None if r[1] is None else removed_by_hand(r[1], p)) for r in HARD), key=repr)
+    assert decontaminate.spans(hard, bench).count() == 3
+
+
 # the queries and the pipeline
 
 
