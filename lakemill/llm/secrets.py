@@ -57,11 +57,11 @@ def candidates(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     named = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, NAMED), False).to_numpy(zero_copy_only=False))
     for d in named.tolist():
         text = texts[d].as_py()
+        byte = np.flatnonzero((data[off[d] : off[d + 1]] & 0xC0) != 0x80) + off[d]  # of every character
         for m in _NAMED.finditer(text):
-            a, b = m.span("v")
             value = m["v"].rstrip(".!?)")
             if len(value) >= 6:
-                a = int(off[d]) + len(text[:a].encode())
+                a = int(byte[m.start("v")])
                 extra.append((a, a + len(value.encode())))
     if extra:
         x = np.array(extra)
@@ -135,8 +135,19 @@ def examples(n: int, seed: int) -> tuple[list[str], np.ndarray]:
     r = np.random.default_rng(seed)
     pick = lambda a, k: "".join(r.choice(list(a), k))
     B36, HEX, B62 = string.ascii_uppercase + string.digits, "0123456789abcdef", string.ascii_letters + string.digits
-    word = lambda: "".join(r.choice(["er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "es", "of", "or", "nt", "ea", "ti", "to", "it", "st", "ou", "ch", "de", "la", "que", "ción", "ung", "eau"], r.integers(1, 5)))
-    prose = lambda k: " ".join(word() for _ in range(k))
+    syllables = "er on an re he in ed nd ha at en es of or nt ea ti to it st ou ch de la que ción ung eau sch ber tz ier lich ver ge oi aux elle ment tre vi ñe ar ad rr bo le ing th sh wh ly ble tion ge zu ei".split()
+    known = (
+        "time year people way day man thing woman life child world school state family student group country problem hand part place case week company system program question work government number night point home water room mother area money story fact month lot right study book eye job word business issue side kind head house service friend "
+        "jahr zeit mensch haus welt leben frau arbeit stadt wasser recht freund straße schule gesellschaft verein grund wirtschaft zeichnung über unter haupt schiff fahrt steuer antwort ausgabe maison temps homme femme jour monde enfant ville pays chose eau heure moment exemple raison marché tiempo hombre mujer mundo casa ciudad trabajo pueblo nombre cuenta agua noche historia gobierno archive image report document release config source package update backup final draft version notes summary index"
+    ).split()
+    word = lambda: str(r.choice(known)) if r.random() < 0.4 else "".join(r.choice(syllables, r.integers(1, 5)))
+    letters = lambda lo, hi: ("".join(r.choice(known if r.random() < 0.5 else syllables, 20)).encode("ascii", "ignore").decode())[: int(r.integers(lo, hi))]
+    styles = [lambda x: x] * 4 + [lambda x: x.upper() + "!!", lambda x: x + r.choice(["###", "***", "%%%", "$$$", "&&&", "|"]), lambda x: x.capitalize() + r.choice([".", ",", ""]), lambda x: "\"" + x + "\""]
+
+    def prose(k: int) -> str:
+        style = r.choice(styles)
+        return " ".join(style(word()) for _ in range(k))
+
     name = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "API_KEY", "access_key", "auth_token", "client_secret", "PASSWORD", "SECRET_KEY", "credentials"])
     equals = lambda: r.choice(["=", " = ", ": ", "=\"", " = \"", ": '", ":\"", "=>"])
     secret = [
@@ -152,7 +163,9 @@ def examples(n: int, seed: int) -> tuple[list[str], np.ndarray]:
         lambda: ("https://" + word() + ".com/", word() + "/" + word() + "-" + word() + "-" + word() + "/" + pick(string.digits, 4)), lambda: ("", r.choice(["IMG", "DSC", "report", "scan"]) + "_20" + pick("012", 2) + "0" + pick("123456789", 1) + pick("12", 2) + "_" + pick(string.digits, 6)),
         lambda: ("", "".join(word().capitalize() for _ in range(int(r.integers(5, 9))))), lambda: (r.choice(["ISBN ", "tel. ", "+", "no. "]), "-".join(pick(string.digits, 3) for _ in range(5)) + "x"), lambda: ("", "/".join(word() for _ in range(5)) + "/v" + pick("123", 2)),
         lambda: (r.choice(["password: ", "token: ", "secret: ", "auth: "]), word() + word() + word()), lambda: (r.choice(["password=", "token=", "api_key="]), r.choice(["<your-key-here>", "changeme_here", "xxxxxxxxxxxx", "required", "os.environ", "getenv(KEY)", "${SECRET}", "********"])), lambda: ("", "".join(word() for _ in range(6)) + pick("123", 2)),
-        lambda: ("", pick(string.ascii_uppercase[:1] + "THERONSHEDIGAL", int(r.integers(16, 24)))), lambda: (r.choice(["card ", "account ", "no. ", "tel. ", ""]), pick(string.digits, int(r.integers(14, 21)))),
+        lambda: ("", letters(16, 32).upper()), lambda: (r.choice(["card ", "account ", "no. ", "tel. ", "\"### ", "!! ", ". ", ", ", ""]), pick(string.digits, int(r.integers(14, 21)))),
+        lambda: ("", r.choice(["_", "-"]).join([*(word() for _ in range(int(r.integers(2, 5)))), pick(string.digits, int(r.integers(1, 3))), word()])), lambda: ("", r.choice(["img", "IMG", "DSC", "file", "v", "log", "backup"]) + r.choice(["_", "-"]) + pick(string.digits, 8) + r.choice(["_", "-", "T"]) + pick(string.digits, int(r.integers(4, 7)))),
+        lambda: ("", "-".join(letters(3, 9) for _ in range(int(r.integers(3, 5)))) + r.choice(["", "-2", "-19", "7"])), lambda: ("", letters(3, 6).upper() + letters(10, 20) + letters(4, 6).upper()),
     ]
     texts, y = [], np.zeros(n, np.int64)
     for i in range(n):
@@ -247,8 +260,9 @@ def scan(docs: DataFrame) -> DataFrame:
         doc, s, e, p, data, off = _found(batch.column("text"), net)
         if not len(doc):
             return None
-        place = [[len(data[off[d] : x].tobytes().decode()) for x in (a, b)] for d, a, b in zip(doc, s, e, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array([x[0] for x in place]), pa.array([x[1] for x in place]), pa.array(p)], ["doc_id", "first_char", "end_char", "probability"])
+        before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters
+        a, b = (before[x] - before[off[doc]] for x in (s, e))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(a), pa.array(b), pa.array(p)], ["doc_id", "first_char", "end_char", "probability"])
 
     return by_chunk(docs.select("doc_id", "text"), run, "doc_id bigint, first_char bigint, end_char bigint, probability double")
 
