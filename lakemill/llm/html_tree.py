@@ -1,7 +1,7 @@
 """HTML extraction by a site style tree.
 
 The element trees of all pages of a host are merged: elements with the same path of tags, classes and
-ids are one node. A node's presentation importance is the normalised entropy of the child sequences
+ids are one node, where ids with digits, which name single posts, and the digits of classes don't count. A node's presentation importance is the normalised entropy of the child sequences
 that its elements have; its content importance is one less the normalised entropy with which its pieces
 of text, links and images spread over the host's pages, weighted by occurrence. Composite importance
 mixes a node's own with its children's, and a branch goes when no node in it reaches LEAST.
@@ -10,6 +10,9 @@ All sums that entropies need are additive, so one aggregation over (host, node,
 host's tree is as large as its variety of structure, however many pages it has. Pages are parsed
 once more to leave the branches out.
 
+A text that a site repeats from a pool is only seen to be repeated once the site has far more pages than
+the pool has texts: what less than about pages ** LEAST different texts take turns in goes.
+
 Defined results: null html gives null text, empty html ""; scripts, styles, comments and the head never
 count. Pages without a host are only stripped of those. Nodes of one page are fully important, so a
 host's only page keeps all its text. Equal pages of a host make their content less important. Columns
@@ -32,15 +35,17 @@ from pyspark.sql import functions as F
 from lakemill.llm import kernel
 from lakemill.llm.frames import by_chunk, fixed
 
-LEAST, FADE = 0.5, 0.9
+LEAST, FADE = 0.65, 0.9
 #: Removed nodes go to every worker up to this many, and by a join on the host beyond it.
-BROADCAST_NODES = 2_000_000
+BROADCAST_NODES = 200_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(?P<raw>script|style|noscript|template)\b.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAMES = re.compile(r"\b(class|id|href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_DIGITS = re.compile(r"\d+")
+_HIDING = re.compile(r"<!--|<(?:script|style|noscript|template)\b", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {t: {"p"} for t in _BLOCK - {"li", "dt", "dd", "tr", "td", "th", "br", "html", "body"}}
@@ -60,40 +65,49 @@ def host(url: str | None) -> str | None:
 def walk(page: str) -> Iterator[tuple[str, int, int, str]]:
     """Events of a page: ("open", node, parent, key), ("close", node, ...), ("text", node, 0, text), ("link", node, 0, address)."""
     stack: list[tuple[str, int]] = []
+    at: dict[str, list[int]] = defaultdict(list)  # the places of open elements by tag
+    fences: list[int] = []
+
+    def close(i: int) -> Iterator[tuple[str, int, int, str]]:
+        while len(stack) > i:
+            t, node = stack.pop()
+            at[t].pop()
+            if t in _FENCE:
+                fences.pop()
+            yield "close", node, 0, t
+
+    # nothing that begins after the last > is a tag, so it isn't looked for there
+    end = page.rfind(">") + 1
     done = 0
-    for m in _TOKEN.finditer(page):
+    for m in _TOKEN.finditer(page, 0, end):
         if m.start() > done:
             yield "text", stack[-1][1] if stack else 0, 0, page[done : m.start()]
         done = m.end()
         tag = m["tag"]
         if not tag:
+            if done == end and _unended(m):
+                done = len(page)
             continue
         tag = tag.lower()
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    while len(stack) > i:
-                        t, node = stack.pop()
-                        yield "close", node, 0, t
-                    break
+            if at[tag]:
+                yield from close(at[tag][-1])
             continue
         shut = _CLOSES.get(tag)
         if shut:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in shut:
-                    while len(stack) > i:
-                        t, node = stack.pop()
-                        yield "close", node, 0, t
-                    break
-                if stack[i][0] in _FENCE:
-                    break
+            i = max((at[t][-1] for t in shut if at[t]), default=-1)
+            if i > (fences[-1] if fences else -1):
+                yield from close(i)
         key, address = tag, None
         if m["attrs"]:
             for name, a, b, c in _NAMES.findall(m["attrs"]):
-                if name.lower() in ("class", "id"):
-                    key += f"|{name.lower()}={' '.join((a or b or c).split())}"
+                name, value = name.lower(), a or b or c
+                if name == "class":
+                    key += f"|class={' '.join(_DIGITS.sub('#', value).split())}"
+                elif name == "id":
+                    key += "" if _DIGITS.search(value) else f"|id={' '.join(value.split())}"
                 else:
-                    address = a or b or c
+                    address = value
         parent = stack[-1][1] if stack else 0
         node = _hash(f"{parent}/{key}")
         yield "open", node, parent, key
@@ -102,12 +116,23 @@ def walk(page: str) -> Iterator[tuple[str, int, int, str]]:
         if tag in _VOID or m["attrs"].endswith("/"):
             yield "close", node, 0, tag
         else:
+            at[tag].append(len(stack))
+            if tag in _FENCE:
+                fences.append(len(stack))
             stack.append((tag, node))
-    if done < len(page):
-        yield "text", stack[-1][1] if stack else 0, 0, page[done:]
-    while stack:
-        t, node = stack.pop()
-        yield "close", node, 0, t
+    rest = page[done:]
+    if hidden := _HIDING.search(rest):
+        rest = rest[: hidden.start()]
+    if rest:
+        yield "text", stack[-1][1] if stack else 0, 0, rest
+    yield from close(0)
+
+
+def _unended(m: re.Match) -> bool:
+    """Whether a comment or raw element goes on to the end."""
+    if m["raw"]:
+        return not re.search(rf"</{m['raw']}\s*>\Z", m[0][-64:], re.IGNORECASE)
+    return m[0].startswith("<!--") and not m[0].endswith("-->")
 
 
 def _gather(pages: list[tuple[str, str]]) -> Counter:
