@@ -441,6 +441,89 @@ def test_html_removes_what_a_site_repeats(spark):
     assert len(out) == len(rows)
 
 
+def gone_by_hand(pages):
+    """The nodes of one site whose branches go, from the definitions."""
+    import math
+
+    parent, on, styles, content, kids = {}, {}, {}, {}, {}
+    for i, p in enumerate(pages):
+        stack = []
+        for what, node, up, text in html_tree.walk(p):
+            if what == "open":
+                if stack:
+                    stack[-1][1].append(text)
+                parent[node] = up
+                kids.setdefault(up, set()).add(node)
+                on.setdefault(node, set()).add(i)
+                stack.append((node, []))
+            elif what == "close":
+                node, below = stack.pop()
+                styles.setdefault(node, Counter())[" ".join(below)] += 1
+            elif node and text.split():
+                content.setdefault(node, {}).setdefault(" ".join(text.split()), Counter())[i] += 1
+    entropy = lambda c: -sum(n / sum(c.values()) * math.log(n / sum(c.values())) for n in c.values())
+    value, most = {}, {}
+
+    def weigh(node):
+        for k in kids.get(node, ()):
+            weigh(k)
+        if not node:
+            return
+        m, n = len(on[node]), sum(styles[node].values())
+        look = 1.0 if n <= 1 else entropy(styles[node]) / math.log(n)
+        parts = [value[k] for k in kids.get(node, ())]
+        if node in content:
+            total = sum(sum(c.values()) for c in content[node].values())
+            parts.append(1.0 if m <= 1 else 1 - sum(sum(c.values()) / total * entropy(c) / math.log(m) for c in content[node].values()))
+        if kids.get(node):
+            fade = html_tree.FADE ** len(styles[node])
+            value[node] = (1 - fade) * look + fade * sum(parts) / len(parts)
+        else:
+            value[node] = parts[0] if parts else 1.0 if m <= 1 else 0.0
+        most[node] = max([value[node], *parts, *(most[k] for k in kids.get(node, ()))])
+
+    weigh(0)
+    return {k for k in value if most[k] < html_tree.LEAST}, {k: v for k, v in most.items() if abs(v - html_tree.LEAST) < 1e-9}
+
+
+def test_html_tree_against_brute_force(spark, sf):
+    pages = [p for p in texts(sf, "pages", "html", "page_id")["html"].to_pylist() if p]
+    pages += [page(i, "same" if i % 3 else f"text {i % 5}", nav=i % 4) for i in range(30)]
+    df = spark.createDataFrame([(i, "http://one.example.org/x", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string").repartition(3)
+    want, near = gone_by_hand(pages)
+    got = {r.node for r in html_tree.removed(df).collect()}
+    assert got ^ want <= near.keys() and len(want) > 5
+
+
+def test_html_of_planted_chrome(spark):
+    """All pages of sf0.1 as one site: menus, advertisements and footers, of 60 texts each, go; articles stay."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("url", F.lit("https://one.example.org/")).withColumn("html", F.regexp_replace("html", r"&copy; \S+", "&copy; one"))
+    left = {r.page_id: set((r.text or "").split("\n")) for r in html_tree.extract(rows).collect()}
+    all_, kept = Counter(), Counter()
+    for r in rows.collect():
+        for kind, around in (("chrome", r"<nav>(.*?)</nav>|<div class=\"ad\">(.*?)</div>|<footer>(.*?)</footer>"), ("article", r"<article>(.*?)</article>()()")):
+            for m in re.finditer(around, r.html or "", re.DOTALL):
+                for line in filter(None, (html_tree.text_of(m[1] or m[2] or m[3], set()) or "").split("\n")):
+                    all_[kind] += 1
+                    kept[kind] += line in left[r.page_id]
+    assert kept["chrome"] <= 0.05 * all_["chrome"] and kept["article"] >= 0.99 * all_["article"] and all_["chrome"] > 10_000
+
+
+def test_html_in_linear_time():
+    import time
+
+    hidden = {"<a " * 350_000: None, "<a " * 350_000 + ">": "", "<!" * 500_000: None, "<div>" * 50_000 + "</p></b>" * 50_000: "", "<p><div>" + "<b>" * 30_000 + "<h1></h1>" * 30_000: "", "<li><div>" + "<b>" * 30_000 + "<dt>" * 30_000: "", "x <!-- a > b <!-- c": "x", "a <script> b > c": "a", "a > b": "a > b", "<p>a<!-- b --> c > d": "a c > d"}
+    for text, want in hidden.items():
+        began = time.perf_counter()
+        out = html_tree.text_of(text, set())
+        assert time.perf_counter() - began < 2 and (want is None or out == want), text[:20]
+
+
+def test_html_ids_of_posts_are_one_node():
+    a, b = ([n for w, n, *_ in html_tree.walk(f"<div id='post-{i}' class='entry e{i}'><p id='lead'>x") if w == "open"] for i in (1, 22))
+    assert a == b
+
+
 def test_html_join_path_gives_the_same(spark, monkeypatch):
     rows = [(i, f"https://b.example.com/{i}", page(i, f"text {i}")) for i in range(8)] + [(99, None, "<p>x")]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
@@ -454,6 +537,9 @@ def test_html_hard(spark):
     out = {r.page_id: r.text for r in html_tree.extract(df).collect()}
     assert "deep" in out[1] and "q" in out[2] and len(out[3]) > 200_000
     assert html_tree.extract(df.where("false")).count() == 0
+    clash = df.union(df).selectExpr("*", "'t' AS text", "'h' AS host", "true AS gone", "1 AS node")  # repeated pages, and names that results have
+    assert sorted((r.page_id, r.text) for r in html_tree.extract(clash).collect()) == sorted((r.page_id, r.text) for r in html_tree.extract(df.union(df)).collect())
+    assert html_tree.extract(clash).columns == ["page_id", "text"]
 
 
 # 7
