@@ -1,11 +1,15 @@
 """License scans by conditional compression.
 
-A candidate block, a sentence over its lines or a line with a word that license notices use, is compressed alone and with
-every template as a raw zstandard dictionary. Templates are ranked by the share of the size that they
-save; the best ones are confirmed by the exact differences of wording, which also tell versions apart.
-Adjoining blocks of one license are one finding.
+A candidate block is a sentence over its lines, or a line, of FEWEST words or more of which the share WORDED
+stands in one template: any other can't be confirmed. It is compressed alone and with every template as a
+raw zstandard dictionary. Templates are ranked by the share of the size that they save; all that save
+enough are confirmed by the exact differences of wording, which also tell versions apart. Adjoining blocks
+of one license are one finding, those with few words of their own among them.
 
-Defined results: null and empty texts and those without such a word have no findings; blocks beside a finding need no such word; ties between
+Candidates are found for a whole chunk of texts at once, by the places of words and of the ends of lines and
+sentences; only texts that hold one are cut into blocks.
+
+Defined results: null and empty texts and those without a candidate have no findings; ties between
 templates go to the fewer differing words, then to the name. Repeated rows have equal findings, and
 columns other than doc_id and text aren't read. The whole text is read, however long.
 """
@@ -15,12 +19,14 @@ from __future__ import annotations
 import functools
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
 
+from lakemill.llm import kernel
+from lakemill.llm.chars import ragged
 from lakemill.llm.frames import by_chunk
 
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
@@ -64,18 +70,15 @@ IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILIT
 For more information, please refer to https://unlicense.org""",
     "proprietary": """All rights reserved. Copyright. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means without the prior written permission of the publisher. Proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited.""",
 }
-#: Words of which a block needs one.
-CUES = r"(?i)licen[cs]|copyright|all rights|permission|redistribut|warrant|public domain|creative commons|\bCC[ -]?(BY|0)|proprietary|spdx|unauthorized copying|free software"
-#: The share of its size that a template has to save, the share of its words that have to stand in the template, in order,
-#: the differing words that a word of the block may cost at most, and how many templates are compared by wording.
-SAVED, WORDED, DIFFERING, RUNNERS = 0.35, 0.8, 0.5, 5
-_CUE = regex.compile(CUES)
+#: The share of its size and the bytes that a template has to save, the share of its words that have to stand in the template,
+#: in order, the differing words that a word of the block may cost at most, and the words of a block that begins a finding.
+SAVED, SAVED_BYTES, WORDED, DIFFERING, FEWEST = 0.35, 10, 0.8, 0.5, 3
 _BLOCK = regex.compile(r"\S(?:[^\n]*?(?<=[.!?])(?=\s)|[^\n]*)")
-#: Lines that a sentence has at most, an end that leaves it open, what may stand between its lines, and between the blocks of a finding.
-LINES = 40
+# an end that leaves a sentence open, what may stand between its lines, and between the blocks of a finding
 _OPEN = regex.compile(r"[^.!?:]\s*$")
 _WRAP = regex.compile(r"[ \t\r]*\n[ \t]*")
 _MARK = regex.compile(r"(?:\s|[*#/\-•]|\(?[0-9a-z][.)])*")
+_RUN = regex.compile(kernel.WORD_SQL)
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:[.\-][\p{L}\p{N}]+)*")
 
 
@@ -95,17 +98,92 @@ def _template_words(name: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(TEMPLATES[name])]
 
 
+@functools.cache
+def _vocabulary() -> tuple[dict[str, int], int]:
+    """For every word of the templates a number with a 1 in the field of each template that has it, and the most words of a template."""
+    out: dict[str, int] = {}
+    for i, text in enumerate(TEMPLATES.values()):
+        for w in {w.lower() for w in _RUN.findall(text)}:
+            out[w] = out.get(w, 0) | 1 << 32 * i
+    return out, max(len(_template_words(k)) for k in TEMPLATES)
+
+
+def likely(block: str) -> bool:
+    """Whether the block is a candidate."""
+    vocabulary, _ = _vocabulary()
+    words = _RUN.findall(block.lower())
+    if len(words) < FEWEST:
+        return False
+    total = sum(vocabulary.get(w, 0) for w in words)
+    return any((total >> 32 * i & 0xFFFFFFFF) >= WORDED * len(words) for i in range(len(TEMPLATES)))
+
+
+@functools.cache
+def _masks() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the templates' words in order, and the templates that have each as bits."""
+    vocabulary, _ = _vocabulary()
+    hashes = kernel.words(pa.array(list(vocabulary))).hashes
+    bits = np.array([sum((x >> 32 * i & 1) << i for i in range(len(TEMPLATES))) for x in vocabulary.values()], np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], bits[order]
+
+
+def candidates(texts: pa.Array) -> np.ndarray:
+    """Which texts hold a candidate block."""
+    w = kernel.words(texts)
+    n = len(w.hashes)
+    out = np.zeros(len(texts), bool)
+    if not n:
+        return out
+    hashes, bits = _masks()
+    at = np.minimum(np.searchsorted(hashes, w.hashes), len(hashes) - 1)
+    mask = np.where(hashes[at] == w.hashes, bits[at], 0)
+    # ends of parts and of sentences after every byte
+    data = w.data
+    space, line, point = _KINDS[data] == 1, data == 10, _KINDS[data] == 2
+    place = np.arange(len(data))
+    stop = point.copy()
+    stop[:-1] &= space[1:]
+    full, last_line = (np.maximum.accumulate(np.where(x, place, -1)) for x in (~space, line))
+    before = np.concatenate([[-1], full[:-1]])  # the last character before this one
+    blank = np.concatenate([[-1], last_line[:-1]]) > before
+    closed = line & (blank | (before < 0) | (_KINDS[data[before]] == 2) | (data[before] == 58))
+    doc = np.zeros(len(data) + 1, np.int64)
+    np.add.at(doc, w.docs[1:-1], 1)
+    word_doc = np.repeat(np.arange(len(texts)), np.diff(w.first))
+    for ends in (line | stop, stop | closed):
+        part = np.concatenate([[0], np.cumsum(ends)])[w.start] + np.cumsum(doc)[w.start]
+        begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        size = np.diff(np.append(begin, n))
+        some = np.flatnonzero((size >= FEWEST) & (np.add.reduceat(mask != 0, begin, dtype=np.int64) >= WORDED * size))
+        if len(some):
+            own, first = mask[ragged(begin[some], size[some])], np.cumsum(size[some]) - size[some]
+            most = np.max([np.add.reduceat(own >> i & 1, first) for i in range(len(TEMPLATES))], axis=0)
+            out[word_doc[begin[some[most >= WORDED * size[some]]]]] = True
+    return out
+
+
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = 1
+_KINDS[[ord(c) for c in ".!?"]] = 2
+
+
+@functools.lru_cache(maxsize=50_000)
+def _size(block: str) -> int:
+    return len(_coders()[0].compress(block.lower().encode()))
+
+
 @functools.lru_cache(maxsize=50_000)
 def matches(block: str) -> tuple[tuple[int, float, str], ...]:
     """(differing words, minus the share of the size saved, license) of the confirmed templates of one block, the best first."""
-    alone, templates = _coders()
-    raw = block.lower().encode()
-    size = len(alone.compress(raw))
-    ranked = sorted(((size - len(c.compress(raw))) / size, k) for k, c in templates.items())[::-1]
     words = [w.lower() for w in _WORD.findall(block)]
+    if not words or WORDED * len(words) > _vocabulary()[1]:
+        return ()  # more words than any template could match
+    raw, size = block.lower().encode(), _size(block)
+    ranked = sorted(((size - len(c.compress(raw))) / size, k) for k, c in _coders()[1].items())[::-1]
     found = []
-    for saved, name in ranked[:RUNNERS]:
-        if saved < SAVED or not words:
+    for saved, name in ranked:
+        if saved < SAVED:
             break
         matcher = SequenceMatcher(None, _template_words(name), words, autojunk=False)
         same = [m for m in matcher.get_matching_blocks() if m.size]
@@ -128,8 +206,9 @@ def _sentences(text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """First character, character after the last, and lines or parts of lines, of every sentence; a blank line ends one, a line's end doesn't."""
     out: list[tuple[int, int, list[tuple[int, int]]]] = []
     for m in _BLOCK.finditer(text):
-        if out and _OPEN.search(text[out[-1][0] : out[-1][1]][-8:]) and len(out[-1][2]) < LINES and _WRAP.fullmatch(text[out[-1][1] : m.start()]):
-            out[-1] = (out[-1][0], m.end(), [*out[-1][2], m.span()])
+        if out and _OPEN.search(text, max(out[-1][0], out[-1][1] - 8), out[-1][1]) and _WRAP.fullmatch(text, out[-1][1], m.start()):
+            out[-1][2].append(m.span())
+            out[-1] = (out[-1][0], m.end(), out[-1][2])
         else:
             out.append((*m.span(), [m.span()]))
     return out
@@ -153,20 +232,20 @@ def _trimmed(text: str, lines: list[tuple[int, int]]) -> tuple[int, int]:
 def findings(text: str) -> list[tuple[int, int, str, float, int]]:
     """(first character, character after the last, license, saved, differing words) of every finding.
 
-    A wrapped sentence counts whole where a template confirms it, else by its lines. From those that hold a cue, findings grow
-    over adjoining ones that don't. Adjoining blocks go together while a license is among the best of each of them; which of
-    several it is, the whole decides.
+    A wrapped sentence counts whole where a template confirms it, else by its lines. From candidates that save enough bytes,
+    findings grow over adjoining blocks that a template confirms. Adjoining blocks go together while a license is among the
+    best of each of them; which of several it is, the whole decides.
     """
     blocks: list[tuple[int, int]] = []
     for a, b, lines in _sentences(text):
-        if len(lines) == 1 or not _CUE.search(text[a:b]):
+        if len(lines) == 1:
             blocks.append((a, b))
-        elif matches(text[a:b]):
+        elif likely(text[a:b]) and matches(text[a:b]):
             i, j = _trimmed(text, lines)
             blocks += [*lines[:i], (lines[i][0], lines[j - 1][1]), *lines[j:]]
         else:
             blocks += lines
-    hits: dict[int, tuple] = {i: found for i, (a, b) in enumerate(blocks) if _CUE.search(text[a:b]) and (found := matches(text[a:b]))}
+    hits: dict[int, tuple] = {i: found for i, (a, b) in enumerate(blocks) if likely(text[a:b]) and (found := matches(text[a:b])) and max(-x[1] for x in found) * _size(text[a:b]) >= SAVED_BYTES}
     for step in (1, -1):
         for i in sorted(hits, reverse=step < 0):
             j = i + step
@@ -202,7 +281,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, first_char, end_char, license, saved, differing_words) of every finding; no shuffle."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hit = batch.filter(pc.fill_null(pc.match_substring_regex(batch.column("text"), CUES), False))
+        hit = batch.filter(pa.array(candidates(batch.column("text"))))
         rows = [(d, *f) for d, t in zip(hit.column("doc_id").to_pylist(), hit.column("text").to_pylist(), strict=True) for f in findings(t)]
         if not rows:
             return None
