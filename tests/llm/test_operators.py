@@ -348,10 +348,62 @@ def test_short_licenses_whole_and_wrapped():
             assert [f[:3] for f in found] == [(len(before), len(before + line), name)]
 
 
+def test_licenses_against_every_template(sf):
+    """Without the choice of candidates and the order of templates: each block with each template, by wording alone where bytes are saved."""
+    from difflib import SequenceMatcher
+
+    def by_hand(block):
+        words = [w.lower() for w in license_scan._WORD.findall(block)]
+        alone, coders = license_scan._coders()
+        size, out = len(alone.compress(block.lower().encode())), []
+        for name, coder in coders.items():
+            saved = (size - len(coder.compress(block.lower().encode()))) / size
+            same = [m for m in SequenceMatcher(None, license_scan._template_words(name), words, autojunk=False).get_matching_blocks() if m.size]
+            n = sum(m.size for m in same)
+            if words and n >= license_scan.WORDED * len(words) and saved >= license_scan.SAVED:
+                differ = len(words) - n + same[-1].a + same[-1].size - same[0].a - n
+                if differ <= license_scan.DIFFERING * len(words):
+                    out.append((differ, -saved, name))
+        return tuple(sorted(out))
+
+    t = texts(sf)["text"].combine_chunks()
+    held = license_scan.candidates(t)
+    known = list(license_scan.TEMPLATES.values())
+    n = 0
+    for i, text in enumerate([*t.to_pylist(), *known]):
+        blocks = [text[a:b] for a, b, _ in license_scan._sentences(text)]
+        confirmed = [b for b in blocks if len(b) < 600 and by_hand(b)]
+        for b in blocks:
+            if len(b) < 600:
+                assert license_scan.matches(b) == by_hand(b)
+        for b in confirmed:
+            if len(license_scan._RUN.findall(b)) >= license_scan.FEWEST and license_scan.likely(b):
+                n += 1
+                assert i >= len(t) or held[i]
+        if i < len(t) and not held[i]:
+            assert license_scan.findings(text) == []
+    assert n > 20
+
+
+def test_license_blocks_need_no_cue():
+    text = "Prose.\n\nIN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.\n"
+    assert license_scan.candidates(pa.array([text, "Nothing of that sort stands here, only some prose of the day.", None, ""])).tolist() == [True, False, False, False]
+    assert [f[2] for f in license_scan.findings(text)] in (["mit"], ["unlicense"])
+    wide = "word\n" * 50_000 + "in the\n" * 50_000
+    import time
+
+    began = time.perf_counter()
+    assert license_scan.findings(wide) == [] and time.perf_counter() - began < 20
+
+
 def test_licenses_hard(spark, hard, empty):
     assert license_scan.scan(hard).count() == 0 and license_scan.scan(empty).count() == 0
     long = spark.createDataFrame([(1, "word " * 100_000 + "\nAll rights reserved.")], "doc_id bigint, text string")
     assert license_scan.scan(long).first().first_char == 500_001
+    rows = [(*r[:1], (r[1] or "") + "\nReleased under the MIT License.", *r[2:], "x", True, 0.5) for r in HARD]
+    noted = spark.createDataFrame(rows, hard.schema)
+    out = license_scan.scan(noted.withColumn("license", F.lit("clash"))).collect()
+    assert sorted((r.doc_id, r.license) for r in out if r.doc_id) == sorted((r[0], "mit") for r in HARD if r[0]) and len(out) == len(HARD)
 
 
 # 5
