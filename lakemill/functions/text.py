@@ -5,19 +5,19 @@ Null text stays null in transforms and fails no filter but those that need words
 
 from __future__ import annotations
 
-import functools
 import html as entities
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakemill.functions import kernels
+
 SPACE = r"(?U)\s+"
-STOPWORDS = ("the", "be", "to", "of", "and", "that", "have", "with", "a", "in", "is", "it", "for", "on", "as", "was", "are", "by", "this", "at")
 
 
 def col(name: str) -> Column:
@@ -43,8 +43,23 @@ def words(x: Column) -> Column:
     return F.filter(F.split(x, SPACE), lambda w: w != "")
 
 
+def by_arrow(fn: Callable[[pa.Array], pa.Array], kind: str, x: Column) -> Column:
+    """``fn`` over slices of the Arrow batches of a text column."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = list(kernels.chunked(texts, fn))
+        return pa.concat_arrays(parts) if parts else fn(texts)
+
+    return F.arrow_udf(run, kind)(x)
+
+
+def where_needed(fn: Callable[[str], str], pattern: str, x: Column) -> Column:
+    """``fn`` of the texts in which the pattern is found; the others don't leave the JVM."""
+    return F.coalesce(by_arrow(lambda t: pa.array([None if v is None else fn(v) for v in t.to_pylist()], pa.string()), "string", F.when(x.rlike(pattern), x)), x)
+
+
 def content_hash(x: Column, normalize: bool = True) -> Column:
-    return F.sha2(normalized(x) if normalize else x, 256)
+    return by_arrow(kernels.sha256, "string", x) if normalize else F.sha2(x, 256)
 
 
 def add_content_hash(df: DataFrame, column: str = "text", out_column: str = "content_hash", normalize: bool = True) -> DataFrame:
@@ -108,162 +123,68 @@ def chunk_text(df: DataFrame, column: str = "text", out_column: str = "chunk", c
 
 # quality
 
-SIGNALS = ("words", "mean_word_length", "symbol_ratio", "alpha_word_ratio", "duplicate_line_ratio", "top_word_ratio", "digit_ratio", "stopword_ratio", "duplicate_3gram_ratio", "chars", "lines", "bullet_line_ratio")
 
+def quality_signals(df: DataFrame, column: str = "text", prefix: str = "q_") -> DataFrame:
+    """Twelve signals, see ``kernels.signals``; null text has null ones."""
+    kinds = {pa.int64(): "bigint", pa.float64(): "double"}
 
-def _ratio(part: Column, whole: Column) -> Column:
-    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
-
+    def run(texts: pa.Array) -> pa.Array:
+        found = kernels.signals(texts)
+        return pa.StructArray.from_arrays([pa.array(found[k], t) for k, t in kernels.SIGNALS.items()], list(kernels.SIGNALS), mask=texts.is_null())
 
-def quality_signals(df: DataFrame, column: str = "text", prefix: str = "q_") -> DataFrame:
-    """Twelve signals, all as expressions; null text has those of an empty one."""
-    base = df.withColumn("__t", F.coalesce(col(column), F.lit("")))
-    base = base.withColumn("__w", words(F.col("__t"))).withColumn("__l", F.filter(F.transform(F.split("__t", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""))
-    t, w, lines = F.col("__t"), F.col("__w"), F.col("__l")
-    n = F.size(w)
-    base = base.withColumn("__s", F.array_sort(w))
-    s = F.col("__s")
-    run = F.aggregate(
-        s, F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top")),
-        lambda a, x: F.struct(x.alias("last"), F.when(a["last"] == x, a["run"] + 1).otherwise(1).alias("run"), F.greatest(a["top"], F.when(a["last"] == x, a["run"] + 1).otherwise(1)).alias("top")),
-        lambda a: a["top"],
-    )
-    grams = F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array_join(F.slice(w, i, 3), " "))).otherwise(F.array().cast("array<string>"))
-    chars = F.length(t)
-    values = {
-        "words": n,
-        "mean_word_length": _ratio(F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)), n),
-        "symbol_ratio": _ratio(F.regexp_count(t, F.lit(r"[^\p{L}\p{N}\s.,;:!?'\"()\-]")), chars),
-        "alpha_word_ratio": _ratio(F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))), n),
-        "duplicate_line_ratio": _ratio(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),
-        "top_word_ratio": _ratio(run, n),
-        "digit_ratio": _ratio(F.regexp_count(t, F.lit("[0-9]")), chars),
-        "stopword_ratio": _ratio(F.size(F.filter(w, lambda x: F.lower(x).isin(*STOPWORDS))), n),
-        "duplicate_3gram_ratio": _ratio(F.size(grams) - F.size(F.array_distinct(grams)), F.size(grams)),
-        "chars": chars,
-        "lines": F.size(lines),
-        "bullet_line_ratio": _ratio(F.size(F.filter(lines, lambda x: x.rlike(r"^[-*•‣]"))), F.size(lines)),
-    }
-    return base.select(*(col(c) for c in df.columns), *(values[k].alias(prefix + k) for k in SIGNALS))
-
-
-#: Rules in the order in which they apply: name, signal, whether it is a least, the limit.
-RULES = {
-    "min_words": ("too_few_words", "words", True, 50), "max_words": ("too_many_words", "words", False, 100_000), "min_mean_word_length": ("short_words", "mean_word_length", True, 3.0),
-    "max_mean_word_length": ("long_words", "mean_word_length", False, 10.0), "max_symbol_ratio": ("symbols", "symbol_ratio", False, 0.30), "min_alpha_word_ratio": ("few_alpha_words", "alpha_word_ratio", True, 0.60),
-    "max_duplicate_line_ratio": ("duplicate_lines", "duplicate_line_ratio", False, 0.30), "max_top_word_ratio": ("top_word", "top_word_ratio", False, 0.30), "max_digit_ratio": ("digits", "digit_ratio", False, 0.30),
-    "min_stopword_ratio": ("few_stopwords", "stopword_ratio", True, 0.06), "max_duplicate_3gram_ratio": ("duplicate_3grams", "duplicate_3gram_ratio", False, 0.30),
-}
+    packed = df.withColumn("__q", by_arrow(run, "struct<" + ", ".join(f"{k}: {kinds[t]}" for k, t in kernels.SIGNALS.items()) + ">", col(column)))
+    return packed.select(*(col(c) for c in df.columns), *(F.col(f"__q.{k}").alias(prefix + k) for k in kernels.SIGNALS))
 
 
 def quality_filter(df: DataFrame, column: str = "text", reason_column: str | None = None, **limits: float) -> DataFrame:
-    """Rows that break no rule; with ``reason_column`` all rows, with the first rule that each breaks, or null."""
-    if unknown := limits.keys() - RULES.keys():
+    """Rows that break no rule; with ``reason_column`` all rows, with the first rule that each breaks, or null. Null text counts as empty."""
+    if unknown := limits.keys() - {r[0] for r in kernels.RULES}:
         raise ValueError(f"unknown limits: {sorted(unknown)}")
-    scored = quality_signals(df, column, "__q_")
-    reason = F.lit(None).cast("string")
-    for key, (name, signal, least, default) in reversed(RULES.items()):
-        x, limit = F.col("__q_" + signal), limits.get(key, default)
-        mark = "<" if least else ">"
-        shown = x.cast("string") if signal == "words" else F.format_number(x, 3)
-        reason = F.when(x < limit if least else x > limit, F.concat(F.lit(f"{name}:"), shown, F.lit(f"{mark}{limit}"))).otherwise(reason)
-    out = scored.withColumn("__reason", reason)
-    keep = [col(c) for c in df.columns]
-    return out.select(*keep, F.col("__reason").alias(reason_column)) if reason_column else out.where("__reason IS NULL").select(*keep)
+    reason = by_arrow(lambda t: kernels.reasons(t, limits), "string", F.coalesce(col(column), F.lit("")))
+    return df.withColumn(reason_column, reason) if reason_column else df.where(reason.isNull())
 
 
 # language
 
-SCRIPTS = {"zh": r"\p{IsHan}", "ja": r"[\p{IsHiragana}\p{IsKatakana}]", "ko": r"\p{IsHangul}", "ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "latin": r"\p{IsLatin}"}
-VOTES = {
-    "en": "the of and to in is that for it with as was on are be this by at from have", "fr": "le la les de des et un une est dans que pour qui sur pas au avec ce il elle",
-    "de": "der die das und ist ein eine nicht mit von zu den auf für im dem sich auch als es", "es": "el la los las de y en que un una es por con para del se no al lo su",
-    "it": "il la di che e un una per non con del della sono gli le nel alla anche è dei", "pt": "o a os as de e um uma que não em para com do da no na por mais se",
-}
+
+def _language(x: Column) -> Column:
+    def run(texts: pa.Array) -> pa.Array:
+        lang, conf = kernels.languages(texts)
+        return pa.StructArray.from_arrays([lang, pa.array(conf)], ["lang", "conf"])
+
+    return by_arrow(run, "struct<lang: string, conf: double>", F.coalesce(x, F.lit("")))
 
 
 def detect_language(df: DataFrame, column: str = "text", lang_column: str = "lang", conf_column: str = "lang_conf") -> DataFrame:
-    """Language by majority of script, for Latin by votes of distinct stop words; no vote gives en with confidence 0."""
-    x = F.coalesce(col(column), F.lit(""))
-    counts = F.array(*(F.struct(F.regexp_count(x, F.lit(p)).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, p) in enumerate(SCRIPTS.items())))
-    distinct = F.array_distinct(words(F.regexp_replace(F.lower(x), r"[^\p{L}\s]", " ")))
-    votes = F.array(*(F.struct(F.size(F.array_intersect(F.col("__d"), F.array(*map(F.lit, v.split())))).alias("n"), F.lit(-i).alias("o"), F.lit(k).alias("k")) for i, (k, v) in enumerate(VOTES.items())))
-    out = df.withColumn("__c", counts).withColumn("__d", distinct).withColumn("__v", votes)
-    script, best = F.array_max("__c"), F.array_max("__v")
-    total, voted = F.aggregate("__c", F.lit(0), lambda a, s: a + s["n"]), F.aggregate("__v", F.lit(0), lambda a, s: a + s["n"])
-    other = (script["k"] != "latin") & (script["n"] > 0)
+    """Language by majority of script, for Latin by votes of distinct stop words; und without letters, and no vote gives en with confidence 0."""
     others = [col(c) for c in df.columns if c not in (lang_column, conf_column)]
-    return out.select(
-        *others,
-        F.when(other, script["k"]).when(best["n"] > 0, best["k"]).otherwise("en").alias(lang_column),
-        F.when(other, _ratio(script["n"], total)).otherwise(_ratio(best["n"], voted)).alias(conf_column),
-    )
+    return df.withColumn("__f", _language(col(column))).select(*others, F.col("__f.lang").alias(lang_column), F.col("__f.conf").alias(conf_column))
 
 
 def language_filter(df: DataFrame, column: str = "text", keep: str | list[str] = "en", min_confidence: float = 0.0) -> DataFrame:
-    found = detect_language(df, column, "__lang", "__conf")
+    found = _language(col(column))
     wanted = [keep] if isinstance(keep, str) else keep
-    return found.where(F.col("__lang").isin(wanted) & (F.col("__conf") >= min_confidence)).select(*(col(c) for c in df.columns))
+    return df.where(found["lang"].isin(wanted) & (found["conf"] >= min_confidence))
 
 
 # personal data
 
-_PII = re.compile(r"(?P<email>[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,})|(?P<url>https?://[^\s<>\"']+|www\.[^\s<>\"']+)|(?P<digits>(?<![\w.])\+?\(?\d(?:[ .()\-]{0,2}\d)+(?!\w))")
-
-
-def _luhn(digits: str) -> bool:
-    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
-
-
-def pii_spans(text: str) -> list[tuple[int, int, str]]:
-    """(first character, end, kind) of e-mail addresses, URLs, IPv4 addresses, phone, social security and card numbers."""
-    out = []
-    for m in _PII.finditer(text):
-        kind = m.lastgroup
-        if kind == "digits":
-            digits = re.sub(r"\D", "", m[0])
-            quad = re.fullmatch(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})", m[0])
-            if quad and all(int(g) < 256 for g in quad.groups()):
-                kind = "ipv4"
-            elif 13 <= len(digits) <= 16 and _luhn(digits):
-                kind = "credit_card"
-            elif 10 <= len(digits) <= 12:
-                kind = "phone"
-            elif len(digits) == 9:
-                kind = "ssn"
-            else:
-                continue
-        out.append((m.start(), m.end(), kind))
-    return out
-
-
-def redact(text: str) -> str:
-    out, at = [], 0
-    for a, b, kind in pii_spans(text):
-        out += [text[at:a], f"[{kind.upper()}]"]
-        at = b
-    return "".join([*out, text[at:]])
-
-
-def _mapped(fn: Callable[[str], object], kind: str) -> Callable[[Column], Column]:
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(fn, na_action="ignore")
-
-    return F.pandas_udf(run, kind)
+_PERSONAL = "@|https?://|[0-9]"
 
 
 def redact_pii(df: DataFrame, column: str = "text", out_column: str | None = None) -> DataFrame:
     """Spans of personal data as [EMAIL], [PHONE] and so on."""
-    return df.withColumn(out_column or column, _mapped(redact, "string")(col(column)))
+    return df.withColumn(out_column or column, where_needed(kernels.redacted, _PERSONAL, col(column)))
 
 
 def detect_pii(df: DataFrame, column: str = "text", count_column: str = "pii_count") -> DataFrame:
-    return df.withColumn(count_column, _mapped(lambda t: len(pii_spans(t)), "int")(F.coalesce(col(column), F.lit(""))))
+    count = by_arrow(lambda t: pa.array([None if v is None else len(kernels.personal(v)) for v in t.to_pylist()], pa.int32()), "int", F.when(col(column).rlike(_PERSONAL), col(column)))
+    return df.withColumn(count_column, F.coalesce(count, F.lit(0)))
 
 
 # lines, encodings, HTML
 
-MARKERS = ("javascript", "lorem ipsum", "terms of use", "privacy policy", "cookie", "log in", "sign up", "subscribe", "click here", "all rights reserved", "read more", "enable js", "{", "}")
+MARKERS = ("javascript", "lorem ipsum", "terms of service", "terms of use", "privacy policy", "all rights reserved", "cookie", "read more", "click here", "sign up", "log in", "{", "}", "©")
 
 
 def c4_line_filter(df: DataFrame, column: str = "text", out_column: str | None = None, min_words: int = 3, require_terminal_punct: bool = True, markers: tuple[str, ...] = MARKERS) -> DataFrame:
@@ -282,29 +203,25 @@ def c4_line_filter(df: DataFrame, column: str = "text", out_column: str | None =
 
 
 def normalize_unicode(df: DataFrame, column: str = "text", out_column: str | None = None, form: str = "NFC") -> DataFrame:
-    return df.withColumn(out_column or column, _mapped(functools.partial(unicodedata.normalize, form), "string")(col(column)))
+    return df.withColumn(out_column or column, where_needed(lambda t: unicodedata.normalize(form, t), r"[^\x00-\x7F]", col(column)))
 
 
-_BROKEN = re.compile("[ÃÂâ][\u0080-¿€-™]?")
+#: Signs that UTF-8 was read as Latin-1.
+BROKEN = ("Ã", "Â", "â€", "Ð", "Ñ", "\ufffd")
 
 
 def repair(text: str) -> str:
-    """UTF-8 that was read as Latin-1 or Windows-1252, repaired if that lowers the number of tell-tale signs."""
-    before = len(_BROKEN.findall(text))
-    if not before:
+    """UTF-8 that was read as Latin-1, repaired if that lowers the number of tell-tale signs."""
+    signs = lambda t: sum(map(t.count, BROKEN))
+    try:
+        fixed = text.encode("latin-1").decode("utf-8")
+    except (UnicodeEncodeError, UnicodeDecodeError):
         return text
-    for code in ("latin-1", "cp1252"):
-        try:
-            fixed = text.encode(code).decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            continue
-        if len(_BROKEN.findall(fixed)) < before:
-            return fixed
-    return text
+    return fixed if signs(fixed) < signs(text) else text
 
 
 def fix_encoding(df: DataFrame, column: str = "text", out_column: str | None = None) -> DataFrame:
-    return df.withColumn(out_column or column, _mapped(repair, "string")(col(column)))
+    return df.withColumn(out_column or column, where_needed(repair, "|".join(BROKEN), col(column)))
 
 
 def token_length_filter(df: DataFrame, column: str = "text", min_tokens: int | None = None, max_tokens: int | None = None, count_column: str | None = None, tokenizer: Callable[[Column], Column] | str = "bytes") -> DataFrame:
@@ -320,7 +237,7 @@ def html_to_text(df: DataFrame, column: str = "html", out_column: str = "text")
     """Text without scripts, styles, comments and tags, entities read, white space collapsed."""
     x = F.regexp_replace(col(column), r"(?is)<!--.*?-->|<(script|style|noscript)\b.*?</\1\s*>", " ")
     x = F.regexp_replace(x, r"(?s)<[^>]*>", " ")
-    out = _mapped(entities.unescape, "string")(x)
+    out = where_needed(entities.unescape, "&", x)
     return df.withColumn(out_column, F.trim(F.regexp_replace(out, SPACE, " ")))
 
 

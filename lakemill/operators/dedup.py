@@ -6,28 +6,40 @@ Rows have no order of their own in Spark, so "first" is by an id column that the
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemill.functions.text import col, content_hash, normalized, shingles
+from lakemill.functions import kernels
+from lakemill.functions.text import by_arrow, col, content_hash, normalized
 from lakemill.operators.components import connected_components
 from lakemill.operators.store import stored
 from lakemill.sources import exists
 
 
 def exact_dedup(df: DataFrame, id_column: str, column: str = "text", normalize: bool = True, keep_hash: bool = False) -> DataFrame:
-    """The row with the smallest id for each text; rows of null text go."""
+    """The row with the smallest id for each text; rows of null text go, rows that repeat an id with its text stay.
+
+    Hashes and ids alone are shuffled to find the rows that go, which are usually few, so that the texts can stay where they are.
+    """
     hashed = df.where(col(column).isNotNull()).withColumn("content_hash", content_hash(col(column), normalize))
-    first = hashed.withColumn("__r", F.row_number().over(Window.partitionBy("content_hash").orderBy(col(id_column)))).where("__r = 1").drop("__r")
+    ids = stored(hashed.select(F.unhex("content_hash").alias("h"), col(id_column).alias("__id"), F.xxhash64(col(column)).alias("__x")))
+    least = ids.groupBy("h").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first <> last").select("h", "first")
+    gone = ids.join(least, "h").where("__id <> first").select("__id", "__x").distinct()
+    first = hashed.join(gone, (F.col("__id") == col(id_column)) & (F.col("__x") == F.xxhash64(col(column))), "left_anti")
     return first if keep_hash else first.drop("content_hash")
 
 
 # MinHash
 
 PRIME = (1 << 61) - 1
+#: Texts of a band of which all pairs are compared, and next ones that each meets in a larger one.
+CROWD, NEIGHBOURS = 64, 4
+#: Hashes of a benchmark's n-grams that go to all workers at most (80 MB).
+KNOWN = 10_000_000
 
 
 def optimal_lsh_bands(threshold: float, num_hashes: int, fp_weight: float = 0.5, fn_weight: float = 0.5) -> tuple[int, int]:
@@ -65,34 +77,22 @@ def _coefficients(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([z % (PRIME - 1) + 1 for z in out[::2]], np.uint64), np.array([z % PRIME for z in out[1::2]], np.uint64)
 
 
-def gram_hashes(grams: list[str]) -> np.ndarray:
-    """FNV-1a of every n-gram; none of them holds a line break."""
-    data = np.frombuffer("\n".join(grams).encode(), np.uint8)
-    edge = np.flatnonzero(data == 10)
-    start, end = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(data)]])
-    order = np.argsort(start - end, kind="stable")  # the longest first, so that those still read are a prefix
-    start, size = start[order], (end - start)[order]
-    h = np.full(len(start), 0xCBF29CE484222325, np.uint64)
-    for k, n in enumerate(np.searchsorted(-size, -np.arange(size[0])).tolist()):
-        h[:n] ^= data[start[:n] + k]
-        h[:n] *= np.uint64(0x100000001B3)
-    out = np.empty_like(h)
-    out[order] = h
-    return out
-
-
-def signature_of(grams: list[str], num_hashes: int, seed: int) -> np.ndarray | None:
-    """Minima of (a x + b) mod 2^61 - 1, without loss of bits, over hashes x of the n-grams; None of none."""
-    if not len(grams):
-        return None
+def signatures(h: np.ndarray, first: np.ndarray, num_hashes: int, seed: int) -> np.ndarray:
+    """Minima of (a x + b) mod 2^61 - 1, without loss of bits, over the hashes x of every text; zeros of none."""
     u, p = np.uint64, np.uint64(PRIME)
-    x = gram_hashes(list(dict.fromkeys(grams))) % p
     a, b = (c[:, None] for c in _coefficients(num_hashes, seed))
     low, high = (1 << 31) - 1, 31
     a0, a1 = a & u(low), a >> u(high)
-    out = np.full(num_hashes, PRIME, u)
-    for i in range(0, len(x), 256):
-        x0, x1 = x[i : i + 256] & u(low), x[i : i + 256] >> u(high)
+    x = h % p
+    out = np.zeros((len(first) - 1, num_hashes), u)
+    some = np.flatnonzero(np.diff(first))
+    # whole texts, some thousand hashes at a time
+    edges = [0, *(np.flatnonzero(np.diff(first[some] // 2048)) + 1).tolist(), len(some)]
+    for i, j in zip(edges, edges[1:], strict=False):
+        if i == j:
+            continue
+        part = x[first[some[i]] : first[some[j - 1] + 1]]
+        x0, x1 = part & u(low), part >> u(high)
         # products of halves by powers of 2^31; 2^61 is 1
         mid = a0 * x1
         mid += a1 * x0
@@ -108,23 +108,22 @@ def signature_of(grams: list[str], num_hashes: int, seed: int) -> np.ndarray | N
         total += mid
         np.subtract(total, p, out=mid)
         np.minimum(total, mid, out=total)  # what lies below p wraps to the far end
-        np.minimum(out, total.min(axis=1), out=out)
-    return out.astype(np.int64)
+        out[some[i:j]] = np.minimum.reduceat(total, first[some[i:j]] - first[some[i]], axis=1).T
+    return out
 
 
-def _word_grams(text: str, ngram: int) -> list[str]:
-    w = text.lower().split()
-    return [" ".join(w[i : i + ngram]) for i in range(max(len(w) - ngram, 0) + 1)] if w else []
+def _lists(flat: np.ndarray, first: np.ndarray, gone: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(flat.astype(np.int64)), mask=gone if gone.true_count else None)
 
 
 def minhash_signatures(df: DataFrame, column: str = "text", num_hashes: int = 128, ngram: int = 2, seed: int = 1, out_column: str = "minhash") -> DataFrame:
-    """Signatures of word n-grams; null for a text without words."""
+    """Signatures of word n-grams over their FNV-1a hashes; zeros for a text without words, null for null."""
 
-    @F.pandas_udf("array<bigint>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: signature_of(_word_grams(t, ngram), num_hashes, seed), na_action="ignore")
+    def run(texts: pa.Array) -> pa.Array:
+        h, first = kernels.gram_sets(texts, ngram)
+        return _lists(signatures(h, first, num_hashes, seed).ravel(), np.arange(len(first)) * num_hashes, texts.is_null())
 
-    return df.withColumn(out_column, run(col(column)))
+    return df.withColumn(out_column, by_arrow(run, "array<bigint>", col(column)))
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -138,27 +137,67 @@ def lsh_band_keys(signature: Column, bands: int, rows: int) -> Column:
 
 
 def fuzzy_pairs(df: DataFrame, id_column: str, column: str = "text", num_hashes: int = 128, ngram: int = 2, bands: int | None = None, threshold: float = 0.7, seed: int = 1) -> DataFrame:
-    """(a, b): pairs of ids, smaller first, whose signatures agree in a band and whose sets of n-grams have a Jaccard similarity of at least ``threshold``.
+    """(a, b): pairs of ids whose texts agree in a band of their signatures and whose sets of n-grams have a Jaccard similarity of at least ``threshold``.
 
-    Equal signatures collapse to their smallest id before pairs are made. Sets are compared by 64-bit hashes.
+    Texts of equal sets collapse to their smallest id before pairs are made. In a band of up to CROWD texts all pairs are
+    compared; a larger one is put in the order of the next band's keys, and each text meets the first and its NEIGHBOURS next ones,
+    so that the work grows with the texts. Sets are compared by 64-bit hashes.
     """
     b, rows = (bands, num_hashes // bands) if bands else recall_lsh_bands(threshold, num_hashes)
 
-    @F.pandas_udf("array<bigint>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(gram_hashes(_word_grams(t, ngram))).astype(np.int64))
-
-    texts = df.select(col(id_column).alias("id"), col(column).alias("text"))
-    signed = stored(minhash_signatures(texts, "text", num_hashes, ngram, seed, "sig").where("sig IS NOT NULL").select("id", "sig"))
-    leaders = stored(signed.groupBy("sig").agg(F.min("id").alias("id"), F.collect_set("id").alias("all")))
-    equal = leaders.where("size(all) > 1").select(F.col("id").alias("a"), F.explode("all").alias("b")).where("a <> b")
-    keyed = leaders.select("id", F.explode(lsh_band_keys(F.col("sig"), b, rows)).alias("k")).select("id", "k.band", "k.key")
-    near = stored(keyed.toDF("a", "band", "key").join(keyed.toDF("b", "band", "key"), ["band", "key"]).where("a < b").select("a", "b").distinct())
+    def keys(texts: pa.Array) -> pa.Array:
+        h, first = kernels.gram_sets(texts, ngram)
+        some = np.flatnonzero(np.diff(first))
+        whole = np.zeros(len(first) - 1, np.uint64)
+        if len(some):
+            whole[some] = np.add.reduceat(kernels.mixed(h ^ np.uint64(0x5851F42D4C957F2D)), first[some])
+        whole = kernels.mixed(whole + np.diff(first).astype(np.uint64))
+        sig = kernels.quick_signatures(h, first, b * rows, seed).reshape(-1, rows)
+        key = np.zeros(len(sig), np.uint64)
+        for k in range(rows):
+            key = kernels.mixed(key * np.uint64(31) + sig[:, k])
+        flat = np.concatenate([whole[:, None], key.reshape(-1, b)], axis=1)
+        empty = np.ones(len(whole), bool)
+        empty[some] = False
+        return _lists(flat.ravel(), np.arange(len(first)) * (b + 1), pa.array(empty))
+
+    def sets(texts: pa.Array) -> pa.Array:
+        h, first = kernels.gram_sets(texts, ngram)
+        return _lists(h, first, texts.is_null())
+
+    texts = df.select(col(id_column).alias("id"), col(column).alias("text")).where("id IS NOT NULL")
+    signed = stored(texts.select("id", by_arrow(keys, "array<bigint>", F.col("text")).alias("k")).where("k IS NOT NULL"))
+    whole = F.col("k")[0]
+    leaders = stored(signed.groupBy(whole.alias("whole")).agg(F.min("id").alias("id"), F.first("k").alias("k"), F.count("*").alias("n")))
+    equal = signed.join(leaders.where("n > 1").select(F.col("id").alias("a"), F.col("whole").alias("__w")), F.col("__w") == whole).select("a", F.col("id").alias("b")).where("a <> b")
+    keyed = leaders.select("id", "k", F.posexplode(F.slice("k", 2, b)).alias("band", "key")).select("id", "band", "key", F.col("k")[(F.col("band") + 1) % b + 1].alias("next"))
+    crowds = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = stored(keyed.join(crowds, ["band", "key"]))
+    few = keyed.where(F.col("n") <= CROWD)
+    near = few.selectExpr("id AS a", "band", "key").join(few.selectExpr("id AS b", "band", "key"), ["band", "key"]).where("a < b").select("a", "b")
+    # all of a crowd meet its first; slices of some thousand by the next band's key are sorted by it
+    many = keyed.where(F.col("n") > CROWD)
+    heads = many.groupBy("band", "key").agg(F.min("id").alias("a"))
+    stars = many.select("band", "key", F.col("id").alias("b")).join(heads, ["band", "key"]).where("a <> b").select("a", "b")
+    order = Window.partitionBy("band", "key", F.pmod("next", F.ceil(F.col("n") / 4096))).orderBy("next", "id")
+    chain = many.select("id", F.array(*(F.lead("id", k).over(order) for k in range(1, NEIGHBOURS + 1))).alias("bs")).select(F.col("id").alias("a"), F.explode("bs").alias("b")).where("b IS NOT NULL")
+    ordered = stars.unionByName(chain).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = stored(near.unionByName(ordered).distinct())
     held = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    grams = stored(texts.join(held, "id", "left_semi").dropDuplicates(["id"]).select("id", sets("text").alias("g")))
-    both = near.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").withColumn("shared", F.size(F.array_intersect("ga", "gb")))
-    checked = both.where(F.col("shared") / (F.size("ga") + F.size("gb") - F.col("shared")) >= threshold)
-    return checked.select("a", "b").unionByName(equal)
+    grams = stored(texts.join(held, "id", "left_semi").dropDuplicates(["id"]).select("id", by_arrow(sets, "array<bigint>", F.col("text")).alias("g")))
+
+    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
+        """Of lists of distinct numbers, for all pairs of a batch at once: numbers that occur twice in a pair are shared."""
+        size = [z.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for z in (x, y)]
+        row = np.concatenate([np.repeat(np.arange(len(x)), n) for n in size])
+        value = np.concatenate([z.flatten().to_numpy(zero_copy_only=False) for z in (x, y)])
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        both = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=len(x)) if len(row) else np.zeros(len(x))
+        return pa.array(both / np.maximum(size[0] + size[1] - both, 1))
+
+    similar = near.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").where(F.arrow_udf(jaccard, "double")("ga", "gb") >= threshold)
+    return similar.select("a", "b").unionByName(equal)
 
 
 def keep_representatives(df: DataFrame, id_column: str, pairs: DataFrame, keep_cluster: bool = False, cluster_column: str = "cluster_id") -> DataFrame:
@@ -191,54 +230,99 @@ def corpus_line_dedup(df: DataFrame, id_column: str, column: str = "text", out_c
 # substrings
 
 
-def window_hashes(tokens: list[str], k: int) -> np.ndarray:
-    """A hash of every run of k tokens."""
-    if len(tokens) < k:
-        return np.zeros(0, np.int64)
-    x = pd.util.hash_array(np.array(tokens, dtype=object), categorize=False)
-    base = 0x9E3779B97F4A7C15
-    power = np.full(len(x), base, np.uint64)
-    power[0] = 1
-    power = np.cumprod(power)
-    back = np.full(len(x), pow(base, -1, 1 << 64), np.uint64)
-    back[0] = 1
-    back = np.cumprod(back)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((x | np.uint64(1)) * power)])
-    h = (total[k:] - total[:-k]) * back[: len(x) - k + 1]
-    return (h ^ (h >> np.uint64(29))).astype(np.int64)
+def _windows(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of k tokens between white space of every text, and offsets."""
+    codes, first = kernels.points(texts)
+    s, e, wfirst = kernels.runs((kernels.classes()[codes] & kernels.SPACE) == 0, first)
+    words = kernels.slices(codes, s, e)
+    count = np.maximum(np.diff(wfirst) - k + 1, 0)
+    hfirst = np.concatenate([[0], np.cumsum(count)])
+    at = np.arange(hfirst[-1]) + np.repeat(wfirst[:-1] - hfirst[:-1], count)
+    return kernels.slices(words, at, at + k), hfirst
 
 
-def substring_dedup(df: DataFrame, id_column: str, column: str = "text", out_column: str | None = None, k: int = 50) -> DataFrame:
-    """Without the tokens of every window of k tokens that an earlier document or place has.
+def _anchored(texts: pa.Array, k: int) -> tuple[np.ndarray, ...]:
+    """Hashes of the windows of every text, offsets, and the runs of windows of one anchor: first window, length and anchor of each.
 
-    The first (id, place) of a window stays; texts that lose nothing, shorter ones and nulls stay as they are.
+    A window's anchor is the smallest hash of the runs of k // 2 + 1 tokens in it, so that equal windows have equal anchors.
     """
+    h, first = _windows(texts, k)
+    inner, ifirst = _windows(texts, k // 2 + 1)
+    inner = kernels.mixed(inner)
+    reach, span = 1, k - k // 2  # minima of 1, 2, 4 ... and at last of all places of a window
+    low = inner
+    while reach < span:
+        step = min(reach, span - reach)
+        low = np.minimum(low[: len(low) - step], low[step:]) if len(low) > step else low[:0]
+        reach += step
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    low = low[ifirst[text] + np.arange(len(h)) - first[text]] if len(h) else low[:0]
+    new = np.ones(len(h), bool)
+    new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
+    head = np.flatnonzero(new)
+    return h, first, text, head, np.diff(np.append(head, len(h))), low[head]
 
-    @F.pandas_udf("array<bigint>")
-    def hashes(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: window_hashes(t.split(), k) if t else None)
 
-    rows = df.select(col(id_column).alias("id"), F.posexplode(hashes(col(column))).alias("pos", "h"))
-    # only windows that occur again need an order
-    again = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1").select("h", "first")
-    later = rows.join(again, "h").where(F.struct("id", "pos") > F.col("first")).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
+def substring_dedup(df: DataFrame, id_column: str, column: str = "text", out_column: str | None = None, k: int = 50) -> DataFrame:
+    """Without the tokens of every window of k tokens that an earlier document or place has.
 
-    @F.pandas_udf("string")
-    def rebuild(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    The first (id, place) of a window stays; texts that lose nothing, shorter ones and nulls stay as they are. Windows go by
+    anchors, of which a text has one for about k / 4 tokens: anchors are counted first, and only the windows of those that
+    occur again are compared, packed by anchor, and then one by one.
+    """
+    rows = df.select(col(id_column).alias("id"), col(column).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, _, _, head, size, anchor in kernels.chunked(batch.column("text"), lambda t: _anchored(t, k)):
+                run = np.repeat(np.arange(len(head)), size)
+                order = np.lexsort((h, run))
+                twice = np.zeros(len(head), bool)
+                twice[run[order][1:][(run[order][1:] == run[order][:-1]) & (h[order][1:] == h[order][:-1])]] = True
+                known, at = np.unique(anchor, return_inverse=True)
+                if len(known):
+                    yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(np.bincount(at, 1 + twice).astype(np.int64))], ["anchor", "n"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for h, first, text, head, size, anchor in kernels.chunked(batch.column("text"), lambda t: _anchored(t, k)):
+                if len(head):
+                    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(np.append(head, len(h)).astype(np.int64) * 8), pa.py_buffer(h)])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("id").take(pa.array(at + text[head])), pa.array((head - first[text[head]]).astype(np.int32)), cut.cast(pa.binary())], ["anchor", "id", "pos", "hashes"])
+                at += len(first) - 1
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [np.frombuffer(x.as_py(), np.int64) for x in batch.column("hashes")]
+            size = np.array([len(x) for x in h], np.int64)
+            if size.sum():
+                which = np.repeat(np.arange(len(h)), size)
+                pos = batch.column("pos").to_numpy()[which] + np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(which)), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(h))], ["id", "pos", "h"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    common = rows.select("text").mapInArrow(counted, "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    likely = rows.mapInArrow(packed, f"anchor bigint, id {kind}, pos int, hashes binary").join(common, "anchor", "left_semi")
+    windows = stored(likely.select("id", "pos", "hashes").mapInArrow(apart, f"id {kind}, pos int, h bigint"))
+    again = windows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where("n > 1").select("h", "first")
+    later = windows.join(again, "h").where(F.struct("id", "pos") > F.col("first")).groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_list("pos")).alias("__gone"))
+
+    def rebuild(texts: pa.Array, gone: pa.Array) -> pa.Array:
         out = []
-        for t, g in zip(texts, gone, strict=True):
-            if g is None or t is None:
-                out.append(t)
-                continue
-            tokens = t.split()
-            drop = np.zeros(len(tokens) + 1, np.int64)
-            np.add.at(drop, g, 1)
-            np.add.at(drop, np.minimum(np.asarray(g) + k, len(tokens)), -1)
-            out.append(" ".join(w for w, d in zip(tokens, np.cumsum(drop), strict=False) if not d))
-        return pd.Series(out)
+        for t, g in zip(texts.to_pylist(), gone, strict=True):
+            if t is not None and g.is_valid:
+                words = t.split()
+                g = g.values.to_numpy()
+                drop = np.bincount(g, minlength=len(words) + 1) - np.bincount(np.minimum(g + k, len(words)), minlength=len(words) + 1)
+                keep = np.cumsum(drop)[: len(words)] == 0
+                t = " ".join(w for w, x in zip(words, keep.tolist(), strict=True) if x)
+            out.append(t)
+        return pa.array(out, pa.string())
 
     joined = df.join(later, F.col("__id") == col(id_column), "left")
-    return joined.withColumn(out_column or column, rebuild(col(column), F.col("__gone"))).drop("__gone", "__id")
+    kept = F.when(F.col("__gone").isNull(), col(column)).otherwise(F.arrow_udf(rebuild, "string")(F.when(F.col("__gone").isNotNull(), col(column)), "__gone"))
+    return joined.withColumn(out_column or column, kept).drop("__gone", "__id")
 
 
 # across runs
@@ -277,13 +361,65 @@ def incremental_dedup(df: DataFrame, index_path: str, id_column: str, column: st
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_column: str, item_column: str, column: str = "text", ngram: int = 8) -> DataFrame:
     """(id, coverage): the largest share of an item's n-grams, repeats counted, that each document holds, where there is any."""
-    items = benchmark.select(col(item_column).alias("item"), F.explode(shingles(col(column), ngram)).alias("g")).groupBy("item", "g").agg(F.count("*").alias("n"))
+    items = benchmark.select(col(item_column).alias("item"), F.explode(_grams(col(column), ngram)).alias("g")).groupBy("item", "g").agg(F.count("*").alias("n"))
+    items = stored(items)
     total = items.groupBy("item").agg(F.sum("n").alias("total"))
-    grams = df.select(col(id_column).alias("id"), F.explode(F.array_distinct(shingles(col(column), ngram))).alias("g"))
+    known = _known(items)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for h, first in kernels.chunked(batch.column("text"), lambda t: kernels.gram_sets(t, ngram)):
+                text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                if known is not None:
+                    table = known.value
+                    where = np.minimum(np.searchsorted(table, h), max(len(table) - 1, 0))
+                    hit = table[where] == h if len(table) else np.zeros(len(h), bool)
+                    h, text = h[hit], text[hit]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at + text)), pa.array(h.view(np.int64))], ["id", "g"])
+                at += len(first) - 1
+
+    rows = df.select(col(id_column).alias("id"), col(column).alias("text")).where("text IS NOT NULL")
+    grams = rows.mapInArrow(hits, f"id {rows.schema['id'].dataType.simpleString()}, g bigint").distinct()
     shared = grams.join(items, "g").groupBy("id", "item").agg(F.sum("n").alias("n")).join(total, "item")
     return shared.groupBy("id").agg(F.max(F.col("n") / F.col("total")).alias("coverage"))
 
 
+def _grams(x: Column, ngram: int) -> Column:
+    """FNV-1a hashes of word n-grams, repeats among them."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _lists(*kernels.gram_hashes(texts, ngram), texts.is_null())
+
+    return by_arrow(run, "array<bigint>", x)
+
+
+def _known(items: DataFrame):  # noqa: ANN202
+    """The hashes of all items in order, for all workers to look up, if they are few enough; else None, and the join finds them."""
+    few = items.select("g").distinct()
+    if few.count() > KNOWN:
+        return None
+    found = few.toArrow()["g"].combine_chunks()
+    return items.sparkSession.sparkContext.broadcast(np.sort(np.asarray(found).astype(np.int64).view(np.uint64)))
+
+
+def contamination_ratio(df: DataFrame, benchmark: DataFrame, column: str = "text", ngram: int = 8, out_column: str = "contamination") -> DataFrame:
+    """The share of each text's n-grams, repeats counted, that the benchmark has; 0 for a text without any and for null."""
+    known = _known(benchmark.select(F.explode(_grams(col(column), ngram)).alias("g")))
+    if known is None:
+        raise ValueError(f"the benchmark has more than {KNOWN} n-grams")
+
+    def run(texts: pa.Array) -> pa.Array:
+        h, first = kernels.gram_hashes(texts, ngram)
+        table = known.value
+        hit = table[np.minimum(np.searchsorted(table, h), len(table) - 1)] == h if len(table) else np.zeros(len(h), bool)
+        n = np.diff(first)
+        return pa.array(np.diff(np.concatenate([[0], np.cumsum(hit)])[first]) / np.maximum(n, 1))
+
+    return df.withColumn(out_column, by_arrow(run, "double", F.coalesce(col(column), F.lit(""))))
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_column: str, item_column: str, column: str = "text", ngram: int = 8, threshold: float = 0.2, reason_column: str | None = None) -> DataFrame:
     """Documents that cover at most ``threshold`` of every item; with ``reason_column`` all, with the coverage that is too high."""
     bad = contamination(df, benchmark, id_column, item_column, column, ngram).where(F.col("coverage") > threshold)

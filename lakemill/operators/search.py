@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.functions.text import col
+from lakemill.functions import kernels
+from lakemill.functions.text import by_arrow, col
+from lakemill.operators.store import stored
 from lakemill.operators.vectors import knn
 
 K1, B = 1.2, 0.75
@@ -30,31 +34,31 @@ def idf(n_docs: Column | float, df: Column | float) -> Column:
     return F.greatest(F.lit(0.0), F.ln(1 + (n - d + 0.5) / (d + 0.5)))
 
 
-def _occurrences(term: str) -> Column:
-    return F.size(F.filter("__w", lambda x: x == F.lit(term)))
-
-
 def bm25(df: DataFrame, query: str, id_column: str, column: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) of the documents that hold a term of the query, by corpus-wide statistics.
 
-    One pass counts the query's terms and lengths per document; the statistics of a query are one row
-    of as many numbers as it has terms.
+    One pass counts the query's terms and lengths per document, some numbers each, which statistics and scores
+    read; the statistics of a query are one row of as many numbers as it has terms.
     """
     terms = query_terms(query)
     if not terms:
         return df.select(col(id_column), F.lit(0.0).alias("score")).limit(0)
-    tokens = df.select(col(id_column), tokenize(F.coalesce(col(column), F.lit(""))).alias("__w"))
-    counted = tokens.select(col(id_column), F.size("__w").alias("__len"), *(_occurrences(t).alias(f"__t{i}") for i, t in enumerate(terms)))
-    stats = counted.agg(F.count("*").alias("__n"), F.avg("__len").alias("__avg"), *(F.count_if(F.col(f"__t{i}") > 0).alias(f"__d{i}") for i in range(len(terms)))).first()
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = kernels.term_counts(texts, terms)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32()), pa.array(found.ravel().astype(np.int32)))
+
+    counted = stored(df.select(col(id_column), by_arrow(run, "array<int>", F.coalesce(col(column), F.lit(""))).alias("__c")))
+    length, times = F.col("__c")[0], [F.col("__c")[i + 1] for i in range(len(terms))]
+    stats = counted.agg(F.count("*").alias("__n"), F.avg(length).alias("__avg"), *(F.count_if(x > 0).alias(f"__d{i}") for i, x in enumerate(times))).first()
     n, avg = stats["__n"], stats["__avg"] or 1.0
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i, x in enumerate(times):
         d = stats[f"__d{i}"]
         weight = max(0.0, math.log(1 + (n - d + 0.5) / (d + 0.5)))
-        tf = F.col(f"__t{i}").cast("double")
-        score = score + F.lit(weight) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("__len") / F.lit(float(avg))))
-    hit = F.greatest(*(F.col(f"__t{i}") for i in range(len(terms))), F.lit(0)) > 0
-    return counted.where(hit).select(col(id_column), score.alias("score"))
+        tf = x.cast("double")
+        score = score + F.lit(weight) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / F.lit(float(avg))))
+    return counted.where(F.greatest(*times, F.lit(0)) > 0).select(col(id_column), score.alias("score"))
 
 
 def full_text_search(df: DataFrame, query: str, id_column: str, column: str = "text", k: int = 10, columns: list[str] | None = None) -> DataFrame:

@@ -6,11 +6,12 @@ import tarfile
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lakemill import streaming
-from lakemill.functions import ai
+from lakemill.functions import ai, kernels
 from lakemill.functions import text as tx
 from lakemill.operators import components, dedup, media, search, tokens, vectors
 from lakemill.plans.catalog import Catalog, Flow, Metrics, dataset_lineage, pipeline_signature, read_lineage, write_lineage
@@ -23,7 +24,7 @@ def frame(spark, rows, schema="id bigint, text string"):
 
 def test_pii():
     t = "Ünïcode a.b@c.org, call (415) 555-2671 or 192.168.0.1; card 4111 1111 1111 1111, ssn 123-45-6789, see https://x.y/z. 12 and 999.1.1.1"
-    out = tx.redact(t)
+    out = kernels.redacted(t)
     for mark in ("[EMAIL]", "[PHONE]", "[IPV4]", "[CREDIT_CARD]", "[SSN]", "[URL]"):
         assert mark in out, mark
     assert out.endswith("12 and 999.1.1.1") and out.startswith("Ünïcode")
@@ -39,7 +40,7 @@ def test_chunks():
 def test_quality_rules_in_order(spark):
     df = frame(spark, [(1, "few words"), (2, " ".join(["the tiger and some elephants"] * 12)), (3, None), (4, " ".join(f"the word{i} of it" for i in range(30)))])
     out = {r.id: r.why for r in tx.quality_filter(df, reason_column="why").collect()}
-    assert out[1] == "too_few_words:2<50" and out[3] == "too_few_words:0<50" and out[2].startswith("duplicate_3grams") and out[4] is None
+    assert out[1] == "too_few_words:2<50" and out[3] == "too_few_words:0<50" and out[2].startswith("dup_ngram_ratio_high:") and out[4] is None
     assert [r.id for r in tx.quality_filter(df).collect()] == [4]
     with pytest.raises(ValueError):
         tx.quality_filter(df, no_such=1)
@@ -47,7 +48,7 @@ def test_quality_rules_in_order(spark):
 
 def test_languages(spark):
     df = frame(spark, [(1, "the cat and the dog of it"), (2, "der Hund und die Katze ist nicht"), (3, "это русский текст"), (4, "中文文本"), (5, ""), (6, "le chat est dans une maison que les")])
-    assert [r.lang for r in tx.detect_language(df).orderBy("id").collect()] == ["en", "de", "ru", "zh", "en", "fr"]
+    assert [r.lang for r in tx.detect_language(df).orderBy("id").collect()] == ["en", "de", "ru", "zh", "und", "fr"]
 
 
 def test_lines_and_encodings(spark):
@@ -79,7 +80,7 @@ def test_fuzzy(spark):
 
 
 def test_minhash_against_big_integers():
-    grams = [f"w{i} ü{i * i}" for i in range(700)] + ["a", "x" * 3000]
+    texts = [" ".join(f"w{i} Ü{i * i}" for i in range(700)), "a", "x" * 3000 + "  y\nz", "", None]
     a, b = dedup._coefficients(128, 1)
 
     def fnv(s):
@@ -88,9 +89,72 @@ def test_minhash_against_big_integers():
             h = ((h ^ c) * 0x100000001B3) % 2**64
         return h
 
-    x = [fnv(g) % dedup.PRIME for g in grams]
-    assert dedup.signature_of(grams, 128, 1).tolist() == [min((i * y + j) % dedup.PRIME for y in x) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    assert dedup.signature_of([], 128, 1) is None
+    h, first = kernels.gram_sets(pa.array(texts), 2)
+    got = dedup.signatures(h, first, 128, 1).tolist()
+    for t, sig in zip(texts, got, strict=True):
+        w = (t or "").lower().split()
+        x = {fnv(" ".join(w[i : i + 2])) for i in range(max(len(w) - 1, 1))} if w else set()
+        assert sig == ([min((i * (y % dedup.PRIME) + j) % dedup.PRIME for y in x) for i, j in zip(a.tolist(), b.tolist(), strict=True)] if x else [0] * 128)
+
+
+def test_signals_by_hand():
+    from collections import Counter
+
+    texts = ["", "   ", "The cat sat. The cat sat on # 12 mats!!\n# title\n\n  # title \nend", "ein Übermaß an Ähnlichkeit… ½ Ⅷ 日本 \u00a0x", "a b c a b c a b c\n", "\n\n", "x\r\ny\r\nx", "İstanbul ΣΑΣ the THE"] + ["word " * 300]
+    got = kernels.signals(pa.array(texts))
+    for i, t in enumerate(texts):
+        w, lines = t.split(), [x.strip() for x in t.split("\n")]
+        lines = lines[:-1] if t.endswith("\n") or not t else lines
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        alpha = lambda c: kernels.regex.fullmatch(r"\p{Alphabetic}", c) is not None
+        n = max(len(t), 1)
+        want = {
+            "char_count": len(t), "word_count": len(w), "mean_word_len": sum(map(len, w)) / max(len(w), 1), "alpha_ratio": sum(map(alpha, t)) / n, "digit_ratio": sum(c in "0123456789" for c in t) / n,
+            "symbol_ratio": sum(not alpha(c) and c not in "0123456789" and not c.isspace() for c in t) / n, "alpha_word_ratio": sum(any(map(alpha, x)) for x in w) / max(len(w), 1),
+            "dup_line_ratio": (len(lines) - len(set(lines))) / max(len(lines), 1), "hash_line_ratio": sum(x.startswith("#") for x in lines) / max(len(lines), 1), "top_word_ratio": max(Counter(w).values(), default=0) / max(len(w), 1),
+            "stopword_ratio": sum(x.lower() in kernels.STOPWORDS for x in w) / max(len(w), 1), "dup_ngram_ratio": (len(grams) - len(set(grams))) / max(len(grams), 1),
+        }
+        assert {k: pytest.approx(v) for k, v in want.items()} == {k: v[i] for k, v in got.items()}, t
+
+
+def test_languages_by_hand():
+    texts = ["", "12 !?", "the cat and the dog", "der Hund ist nicht da", "это русский", "中文 ab", "Ελληνικά", "हिन्दी भाषा", "il gatto", "no votes here", "ひらがな", "한국어", "العربية"]
+    lang, conf = kernels.languages(pa.array(texts))
+    assert lang.to_pylist() == ["und", "und", "en", "de", "ru", "zh", "el", "hi", "it", "en", "ja", "ko", "ar"] and conf[0] == 0 and conf[5] == 0.5
+
+
+def test_a_crowded_band(spark):
+    """Thousands of different texts that agree in every band: pairs stay in proportion, all land in one cluster."""
+    base = " ".join(f"w{i}" for i in range(400))
+    df = spark.range(3000).selectExpr("id", f"concat('{base} x', id, ' y', id) AS text").repartition(4)
+    pairs = dedup.fuzzy_pairs(df, "id")
+    assert pairs.count() < 3000 * 200
+    assert dedup.fuzzy_dedup(df, "id").count() == 1
+
+
+def test_substrings_by_hand(spark):
+    r = np.random.default_rng(2)
+    vocabulary = [f"v{i}" for i in range(50)]
+    rows, passage = [], list(r.choice(vocabulary, 40))
+    for d in range(60):
+        w = list(r.choice(vocabulary, int(r.integers(0, 90))))
+        if d % 3 == 0:
+            at = int(r.integers(0, len(w) + 1))
+            w[at:at] = passage[: int(r.integers(5, 40))]
+        rows.append((d, " ".join(w)))
+    rows += [(100, "tic tac " * 40), (101, "a " * 60), (102, None), (103, ""), (104, rows[0][1]), (105, "  spaced   out  words ")]
+    for k in (1, 2, 5, 12):
+        seen, want = set(), {}
+        for d, t in rows:
+            w = (t or "").split()
+            drop = [False] * len(w)
+            for i in range(len(w) - k + 1):
+                g = tuple(w[i : i + k])
+                if g in seen:
+                    drop[i : i + k] = [True] * k
+                seen.add(g)
+            want[d] = " ".join(x for x, y in zip(w, drop, strict=True) if not y) if any(drop) else t
+        assert {x.id: x.text for x in dedup.substring_dedup(frame(spark, rows).repartition(3), "id", k=k).collect()} == want, k
 
 
 def test_fuzzy_recall_and_false_links(spark):
@@ -154,7 +218,7 @@ def test_components_of_whole_lineitem_against_union_find(spark, sf, tmp_path):
     for d in (small, sf):
         edges = [(2 * x.l_orderkey, 2 * x.l_partkey + 1) for x in spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_partkey").collect()]
         want = union_find(edges)
-        assert {x.node: x.component for x in curation.connected_components_whole(spark, d).collect()} == want
+        assert {x.node: x.component for x in curation.connected_components(spark, d).collect()} == want
         assert d == sf or len(set(want.values())) == 52
 
 
@@ -316,7 +380,7 @@ def test_blend_query_takes_all_rows(spark, tmp_path):
 
     rows = [(i, "t", "en") for i in range(900)] + [(1000 + i, "t", None if i % 2 else "de") for i in range(100)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.lang, r.doc_id) for r in curation.blend_datasets(spark, str(tmp_path)).collect()]
+    got = [(r.lang, r.doc_id) for r in curation.blend_whole(spark, str(tmp_path)).collect()]
     assert len(got) == 1000 and sum(lang == "en" for lang, _ in got) == 750
     assert {d for lang, d in got if lang != "en"} == set(range(1000, 1100)) and any(lang is None for lang, _ in got)
 
