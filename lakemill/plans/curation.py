@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakemill import streaming
 from lakemill.functions import text as tx
 from lakemill.operators import components, dedup, media, search, tokens, vectors
+from lakemill.operators.store import scratch
 from lakemill.plans.registry import query
 
 # RE2 knows white space of ASCII alone; the tables hold no other
@@ -17,12 +16,6 @@ _NORM = r"trim(regexp_replace(lower(text), '\s+', ' ', 'g'))"
 _WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for files of a query, beside the checkpoints that all executors share, or in the warehouse of one machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

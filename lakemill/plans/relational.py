@@ -323,6 +323,17 @@ _PASS = {
     "sql_correlated": ("SELECT s_suppkey, s_acctbal FROM supplier s WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier t WHERE t.s_nationkey = s.s_nationkey)", None),
     "sql_lateral": ("SELECT n_name, x.k FROM nation, LATERAL (SELECT n_nationkey * 2 AS k) x", None),
     "sql_cte_having": ("WITH big AS (SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey HAVING count(*) > 10) SELECT c_custkey, total FROM big JOIN customer ON c_custkey = o_custkey", None),
+    "tpch_q1": ("SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 4))) AS DOUBLE) AS sum_base_price, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS sum_disc_price, CAST(sum(CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(20, 6))) AS DOUBLE) AS sum_charge, round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus", None),
+    "tpch_q2": ("WITH offers AS (SELECT l_partkey, l_suppkey, min(l_extendedprice / l_quantity) AS cost FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT s_acctbal, s_name, n_name, p_partkey, p_brand FROM part JOIN offers o ON p_partkey = o.l_partkey JOIN supplier ON s_suppkey = o.l_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE p_size < 25 AND p_type LIKE '%O%' AND r_name = 'EUROPE' AND o.cost = (SELECT min(o2.cost) FROM offers o2 JOIN supplier s2 ON s2.s_suppkey = o2.l_suppkey JOIN nation n2 ON s2.s_nationkey = n2.n_nationkey JOIN region r2 ON n2.n_regionkey = r2.r_regionkey WHERE o2.l_partkey = p_partkey AND r2.r_name = 'EUROPE')", None),
+    "tpch_q7": ("SELECT supp_nation, cust_nation, l_year, CAST(sum(CAST(volume AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM (SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, CAST(year(l_shipdate) AS BIGINT) AS l_year, l_extendedprice * (1 - l_discount) AS volume FROM supplier, lineitem, orders, customer, nation n1, nation n2 WHERE s_suppkey = l_suppkey AND o_orderkey = l_orderkey AND c_custkey = o_custkey AND s_nationkey = n1.n_nationkey AND c_nationkey = n2.n_nationkey AND ((n1.n_name = 'NATION_6' AND n2.n_name = 'NATION_7') OR (n1.n_name = 'NATION_7' AND n2.n_name = 'NATION_6')) AND l_shipdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31') AS shipping GROUP BY supp_nation, cust_nation, l_year", None),
+    "tpch_q8": ("SELECT o_year, round(sum(CASE WHEN nation_name = 'NATION_2' THEN volume ELSE 0 END) / sum(volume), 6) AS mkt_share FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) AS volume, n2.n_name AS nation_name FROM part, supplier, lineitem, orders, customer, nation n1, nation n2, region WHERE p_partkey = l_partkey AND s_suppkey = l_suppkey AND l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n1.n_nationkey AND n1.n_regionkey = r_regionkey AND r_name = 'AMERICA' AND s_nationkey = n2.n_nationkey AND o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1996-12-31' AND p_type = 'ECONOMY') AS all_nations GROUP BY o_year", None),
+    "tpch_q9": ("SELECT nation_name, o_year, CAST(sum(CAST(amount AS DECIMAL(18, 4))) AS DOUBLE) AS sum_profit FROM (SELECT n_name AS nation_name, CAST(year(o_orderdate) AS BIGINT) AS o_year, l_extendedprice * (1 - l_discount) - p_retailprice * l_quantity AS amount FROM part, supplier, lineitem, orders, nation WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%ring%') AS profit GROUP BY nation_name, o_year", None),
+    "tpch_q11": ("WITH held AS (SELECT l_partkey, CAST(sum(CAST(l_extendedprice * l_quantity AS DECIMAL(18, 4))) AS DOUBLE) AS value FROM lineitem, supplier, nation WHERE l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_name = 'NATION_7' GROUP BY l_partkey) SELECT l_partkey, value FROM held WHERE value > (SELECT sum(value) * 0.001 FROM held)", None),
+    "tpch_q15": ("WITH revenue AS (SELECT l_suppkey AS supplier_no, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS total_revenue FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1996-04-01' GROUP BY l_suppkey) SELECT s_suppkey, s_name, total_revenue FROM supplier, revenue WHERE s_suppkey = supplier_no AND total_revenue = (SELECT max(total_revenue) FROM revenue)", None),
+    "tpch_q16": ("SELECT p_brand, p_type, p_size, count(DISTINCT l_suppkey) AS supplier_cnt FROM lineitem, part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#12' AND p_type NOT LIKE 'MED%' AND p_size IN (49, 14, 23, 45, 19, 3, 36, 9) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY p_brand, p_type, p_size", None),
+    "tpch_q19": ("SELECT CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_brand = 'Brand#12' AND l_quantity BETWEEN 1 AND 21 AND p_size BETWEEN 1 AND 15) OR (p_brand = 'Brand#3' AND l_quantity BETWEEN 10 AND 30 AND p_size BETWEEN 1 AND 30) OR (p_brand = 'Brand#4' AND l_quantity BETWEEN 20 AND 40 AND p_size BETWEEN 1 AND 50))", None),
+    "tpch_q20": ("SELECT s_name, s_suppkey FROM supplier, nation WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_name LIKE 'red%') GROUP BY l_partkey, l_suppkey HAVING sum(l_quantity) > 0.5 * (SELECT avg(l_quantity) FROM lineitem)) AND s_nationkey = n_nationkey AND n_name IN ('NATION_3', 'NATION_4', 'NATION_5')", None),
+    "tpch_q21": ("SELECT s_name, count(*) AS numwait FROM supplier, lineitem l1, orders, nation WHERE s_suppkey = l1.l_suppkey AND o_orderkey = l1.l_orderkey AND o_orderstatus = 'F' AND l1.l_returnflag = 'R' AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey) AND NOT EXISTS (SELECT 1 FROM lineitem l3 WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_returnflag = 'R') AND s_nationkey = n_nationkey AND n_regionkey = 2 GROUP BY s_name", None),
     "tpch_q3": ("SELECT l_orderkey, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15' AND l_shipdate > TIMESTAMP '1996-03-15' GROUP BY l_orderkey", None),
     "tpch_q4": ("SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority", None),
     "tpch_q5": ("SELECT n_name, CAST(sum(CAST(l_extendedprice * (1 - l_discount) AS DECIMAL(18, 4))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey AND c_nationkey = s_nationkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name", None),
@@ -343,7 +354,7 @@ for _name, (_duck, _spark) in _PASS.items():
         frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if t in text}
         import re
 
-        marked = re.sub(r"\b(" + "|".join(frames) + r")\b(?!\.)", r"{\1}", text) if frames else text
+        marked = re.sub(r"(?<![\w.])(" + "|".join(frames) + r")\b(?![\w.])", r"{\1}", text) if frames else text
         return con.spark.sql(marked, **frames)
 
     query(_name, _duck)(_pass)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import re
-import tempfile
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +17,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lakemill.dialect import spark_type
+from lakemill.operators.store import scratch
 
 _CSV = {
     "sep": "sep", "delimiter": "sep", "delim": "sep", "header": "header", "quotechar": "quote", "quote": "quote", "escapechar": "escape", "escape": "escape", "na_values": "nullValue", "nullstr": "nullValue",
     "encoding": "encoding", "date_format": "dateFormat", "dateformat": "dateFormat", "timestamp_format": "timestampFormat", "timestampformat": "timestampFormat", "comment": "comment", "lineterminator": "lineSep", "new_line": "lineSep",
-    "max_line_size": "maxCharsPerColumn", "compression": None, "parallel": None, "sample_size": None, "all_varchar": None, "auto_detect": None, "ignore_errors": None, "normalize_names": None, "filename": None, "null_padding": None,
+    "max_line_size": "maxCharsPerColumn", "compression": None, "parallel": None, "sample_size": None, "all_varchar": None, "auto_detect": None, "ignore_errors": None, "normalize_names": None, "filename": None, "null_padding": None, "multiline": None,
     "hive_partitioning": None, "union_by_name": None, "decimal": None, "skiprows": None, "skip": None, "dtype": None, "dtypes": None, "names": None, "columns": None,
 }
 EXTENSIONS = {
@@ -41,12 +42,16 @@ def read_csv(spark: SparkSession, path: Any, **options: Any) -> DataFrame:
     if hasattr(path, "read"):
         data = path.read()
         data = data.encode() if isinstance(data, str) else data
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-        path = os.path.join(folder.removeprefix("file://"), f"upload-{os.urandom(6).hex()}.csv")
-        with open(path, "wb") as f:
-            f.write(data)
+        path = scratch(spark, "upload") + ".csv"
+        fs, p = _path(spark, path)
+        out = fs.create(p, True)
+        try:
+            for i in range(0, len(data), 1 << 20):
+                out.write(bytearray(data[i : i + (1 << 20)]))
+        finally:
+            out.close()
     header = options.get("header", True)
-    settings = {"header": bool(header), "inferSchema": not options.get("all_varchar", False), "multiLine": True, "quote": '"', "escape": '"', "nanValue": "nan", "mode": "DROPMALFORMED" if options.get("ignore_errors") else "FAILFAST" if options.get("null_padding") is False else "PERMISSIVE"}
+    settings = {"header": bool(header), "inferSchema": not options.get("all_varchar", False), "multiLine": options.get("multiline", True), "quote": '"', "escape": '"', "nanValue": "nan", "mode": "DROPMALFORMED" if options.get("ignore_errors") else "FAILFAST" if options.get("null_padding") is False else "PERMISSIVE"}
     settings |= {_CSV[k]: v for k, v in options.items() if _CSV[k] and not isinstance(v, bool) and k != "header"}
     skip = int(options.get("skiprows", options.get("skip", 0)) or 0)
     names, kinds = options.get("names", options.get("columns")), options.get("dtype", options.get("dtypes"))
@@ -137,56 +142,68 @@ def media_files(spark: SparkSession, kind: str, inputs: str | list[str], content
 # WARC
 
 
-def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record of a WARC file, its members packed by gzip or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = {}
-        for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
-            k, _, v = line.partition(":")
-            head[k.strip().lower()] = v.strip()
-        size = int(head.get("content-length", 0))
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+def warc_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers and block of every record of a WARC file, its members packed by gzip or not; one record is in memory at a time."""
+    file = io.BufferedReader(file) if not isinstance(file, (io.BufferedReader, io.BytesIO)) else file
+    head = file.read(2)
+    file.seek(0)
+    if head == b"\x1f\x8b":
+        file = gzip.GzipFile(fileobj=file)
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            continue
+        fields = {}
+        while (line := file.readline()) not in (b"\r\n", b"\n", b""):
+            k, _, v = line.decode("utf-8", "replace").partition(":")
+            fields[k.strip().lower()] = v.strip()
+        yield fields, file.read(int(fields.get("content-length", 0)))
 
 
 _WARC = "path string, record_id string, type string, url string, date string, content_type string, content binary"
 
 
-def read_warc(spark: SparkSession, url: str, record_type: str | None = "response", text: bool = False) -> DataFrame:
+def read_warc(spark: SparkSession, url: str, record_type: str | None = "response", text: bool = False, limit: int | None = None) -> DataFrame:
     """(path, record_id, type, url, date, content_type, content) of the records of WARC files; a task per file.
 
-    Of HTTP responses the body is the content and its own header gives the type. With ``text`` the
-    content is plain text from HTML.
+    Of HTTP responses the body is the content and its own header gives the type. With ``text`` the content is
+    plain text from HTML. Files on a folder that executors mount are read record by record; those of other
+    stores come as Spark reads them, whole. ``limit`` is the number of records of a file that are read at most.
     """
-
     schema = to_arrow_schema(T.StructType.fromDDL(_WARC))
 
+    def records(path: str, content: bytes | None) -> Iterator[dict]:
+        with open(path.removeprefix("file:"), "rb") if content is None else io.BytesIO(content) as file:
+            n = 0
+            for head, body in warc_records(file):
+                kind = head.get("warc-type")
+                if record_type and kind != record_type:
+                    continue
+                content_type = head.get("content-type")
+                if body[:5] == b"HTTP/" and b"\r\n\r\n" in body:
+                    http, body = body.split(b"\r\n\r\n", 1)
+                    m = re.search(rb"(?im)^content-type:\s*([^\r\n]+)", http)
+                    content_type = m[1].decode("latin-1").strip() if m else None
+                yield {"path": path, "record_id": head.get("warc-record-id"), "type": kind, "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "content_type": content_type, "content": body}
+                n += 1
+                if n == limit:
+                    return
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for head, body in warc_records(data):
-                    kind = head.get("warc-type")
-                    if record_type and kind != record_type:
-                        continue
-                    content_type = head.get("content-type")
-                    if body[:5] == b"HTTP/" and b"\r\n\r\n" in body:
-                        http, body = body.split(b"\r\n\r\n", 1)
-                        m = re.search(rb"(?im)^content-type:\s*([^\r\n]+)", http)
-                        content_type = m[1].decode("latin-1").strip() if m else None
-                    rows.append({"path": path, "record_id": head.get("warc-record-id"), "type": kind, "url": head.get("warc-target-uri"), "date": head.get("warc-date"), "content_type": content_type, "content": body})
-                    if len(rows) >= 512:
+            contents = batch.column("content") if "content" in batch.schema.names else [None] * batch.num_rows
+            for path, content in zip(batch.column("path").to_pylist(), contents, strict=True):
+                rows, size = [], 0
+                for r in records(path, None if content is None else content.as_py()):
+                    rows.append(r)
+                    size += len(r["content"])
+                    if size > 8 << 20:
                         yield pa.RecordBatch.from_pylist(rows, schema)
-                        rows = []
+                        rows, size = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    files = spark.read.format("binaryFile").load(url).select("path", "content")
+    files = list_files(spark, url)
+    mounted = url.startswith("/") or url.startswith("file:")
+    files = files.select("path").repartition(max(1, len(files.inputFiles()))) if mounted else spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(url).select("path", "content")
     out = files.mapInArrow(run, _WARC)
     if not text:
         return out

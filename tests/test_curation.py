@@ -381,8 +381,9 @@ def test_blend_query_takes_all_rows(spark, tmp_path):
     rows = [(i, "t", "en") for i in range(900)] + [(1000 + i, "t", None if i % 2 else "de") for i in range(100)]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [(r.lang, r.doc_id) for r in curation.blend_whole(spark, str(tmp_path)).collect()]
-    assert len(got) == 1000 and sum(lang == "en" for lang, _ in got) == 750
-    assert {d for lang, d in got if lang != "en"} == set(range(1000, 1100)) and any(lang is None for lang, _ in got)
+    assert len(got) == len(set(got)) == 1000 and any(lang is None for lang, _ in got)
+    shares = {r.english: (r.rows, r.documents, r.most) for r in curation.blend_datasets(spark, str(tmp_path)).collect()}
+    assert shares == {True: (750, 750, 1), False: (250, 100, 3)}
 
 
 def test_streams(spark, sf, tmp_path):

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from lakemill.plans import curation, registry, relational  # noqa: F401
+from lakemill.plans import curation, registry, relational, surface  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
