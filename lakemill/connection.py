@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -18,6 +19,7 @@ from lakemill import dialect, sources
 from lakemill.relation import Relation
 from lakemill.session import build_session
 
+_CHANGE = re.compile(r"\s*(?:insert\s+(?:into|overwrite)(?:\s+table)?|update|delete\s+from|create\s+(?:or\s+replace\s+)?table(?:\s+if\s+not\s+exists)?|drop\s+table(?:\s+if\s+exists)?|alter\s+table|truncate\s+table|merge\s+into)\s+([`\w.]+)", re.IGNORECASE)
 _NAME = re.compile(r"\b(?:from|join)\s+([A-Za-z_]\w*)\b(?!\s*[.(])", re.IGNORECASE)
 
 
@@ -32,7 +34,7 @@ def connect(database: str | None = None, read_only: bool = False, config: dict[s
 
 class Connection:
     def __init__(self, spark: SparkSession, read_only: bool = False) -> None:
-        self.spark, self.read_only, self._last = spark, read_only, None
+        self.spark, self.read_only, self._last, self._undo = spark, read_only, None, None
 
     def _frame(self, x: Any) -> DataFrame:
         if isinstance(x, DataFrame):
@@ -54,6 +56,7 @@ class Connection:
         if self.read_only and re.match(r"\s*(insert|update|delete|create|drop|alter|truncate|merge)\b", query, re.IGNORECASE):
             raise PermissionError("the connection is read only")
         self._replace(query, inspect.currentframe().f_back)
+        self._keep(query)
         return Relation(self.spark.sql(query, args=params) if params else self.spark.sql(query))
 
     query = sql
@@ -72,6 +75,7 @@ class Connection:
 
     def execute(self, query: str, params: list | dict | None = None) -> Connection:
         self._replace(query, inspect.currentframe().f_back)
+        self._keep(query)
         self._last = Relation(self.spark.sql(query, args=params) if params else self.spark.sql(query))
         return self
 
@@ -82,6 +86,7 @@ class Connection:
 
     def execute_batch(self, text: str) -> None:
         for statement in dialect.split_top(text, ";"):
+            self._keep(statement)
             self.spark.sql(statement)
 
     def fetchall(self) -> list[tuple]:
@@ -96,7 +101,10 @@ class Connection:
     def df(self) -> pd.DataFrame:
         return self._last.df()
 
-    rowcount = -1
+    @property
+    def rowcount(self) -> int:
+        """Rows of the last statement's result; -1 before one."""
+        return self._last.num_rows() if self._last else -1
 
     def cursor(self) -> Connection:
         return Connection(self.spark.newSession(), self.read_only)
@@ -106,10 +114,62 @@ class Connection:
     def close(self) -> None:
         self._last = None
 
-    def begin(self) -> None:
-        raise NotImplementedError("Spark's tables have no transactions of several statements")
+    # transactions: what tables held before their first change is kept aside, and put back by a rollback
 
-    commit = rollback = begin
+    def begin(self) -> Connection:
+        """Changes by this connection from now on go together; other connections see them at once."""
+        if self._undo is not None:
+            raise RuntimeError("a transaction has begun already")
+        self._undo = {}
+        return self
+
+    def _keep(self, query: str) -> None:
+        m = _CHANGE.match(query) if self._undo is not None else None
+        if not m or (name := m[1].strip("`")) in self._undo:
+            return
+        if self.spark.catalog.tableExists(name):
+            copy = f"{name}__before_{uuid.uuid4().hex[:8]}"
+            self.spark.table(name).write.saveAsTable(copy)
+            self._undo[name] = copy
+        else:
+            self._undo[name] = None
+
+    def _end(self) -> dict[str, str | None]:
+        if self._undo is None:
+            raise RuntimeError("no transaction has begun")
+        undo, self._undo = self._undo, None
+        return undo
+
+    def commit(self) -> Connection:
+        for copy in self._end().values():
+            if copy:
+                self.spark.sql(f"DROP TABLE {copy}")
+        return self
+
+    def rollback(self) -> Connection:
+        for name, copy in self._end().items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            if copy:
+                self.spark.sql(f"ALTER TABLE {copy} RENAME TO {name}")
+        return self
+
+    # the session
+
+    def enable_profiling(self) -> Connection:
+        """Times of Python functions are gathered; ``profile`` shows them."""
+        self.spark.conf.set("spark.sql.pyspark.udf.profiler", "perf")
+        return self
+
+    def disable_profiling(self) -> Connection:
+        self.spark.conf.unset("spark.sql.pyspark.udf.profiler")
+        return self
+
+    def load_extension(self, path: str) -> Connection:
+        """A jar on the class path of the session."""
+        self.spark.sql(f"ADD JAR '{path}'")
+        return self
+
+    install_extension = load_extension
 
     # scans
 
@@ -130,10 +190,14 @@ class Connection:
     def read_hive(self, path: str, hive_partitioning: bool = True, union_by_name: bool = False) -> Relation:
         return Relation(sources.read_hive(self.spark, path, hive_partitioning, union_by_name))
 
-    def read_iceberg(self, path: str, snapshot_id: int | None = None) -> Relation:
-        """Needs the table format's jar on the class path; Spark says so where it is missing."""
+    def read_iceberg(self, path: str, snapshot_id: int | None = None, version: str | None = None) -> Relation:
+        """Needs the table format's jar on the class path; Spark says so where it is missing. ``version`` is a branch or tag."""
         reader = self.spark.read.format("iceberg")
-        return Relation((reader.option("snapshot-id", snapshot_id) if snapshot_id else reader).load(path))
+        reader = reader.option("snapshot-id", snapshot_id) if snapshot_id else reader
+        return Relation((reader.option("branch", version) if version else reader).load(path))
+
+    def iceberg_snapshots(self, path: str) -> Relation:
+        return Relation(self.spark.read.format("iceberg").load(f"{path}.snapshots"))
 
     def read_versioned(self, path: str, version: int | str | None = None, columns: list[str] | None = None, filter: str | None = None) -> Relation:  # noqa: A002
         from lakemill.sources.versioned import Dataset
@@ -188,10 +252,12 @@ class Connection:
 
     def insert(self, table: str, values: list) -> None:
         lit = lambda v: "DEFAULT" if v == "DEFAULT" else "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+        self._keep(f"INSERT INTO {table}")
         self.spark.sql(f"INSERT INTO {table} VALUES ({', '.join(map(lit, values))})")
 
     def update(self, table: str, set: dict[str, Any], condition: str | None = None) -> None:  # noqa: A002
         """Rewrites a table with the new values in the rows that meet the condition."""
+        self._keep(f"UPDATE {table}")
         df = self.spark.table(table)
         when = F.coalesce(F.expr(condition), F.lit(False)) if condition else F.lit(True)
         cols = [F.when(when, v.column if hasattr(v, "column") else F.lit(v)).otherwise(F.col(c)).cast(t).alias(c) if (v := set.get(c, ...)) is not ... else F.col(c) for c, t in df.dtypes]

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.text import col
@@ -33,6 +33,25 @@ def retry(fn: Callable[[], Any], max_retries: int = 3, on_error: str = "raise",
             sleep(getattr(e, "retry_after", None) or min(2**i, 30))
 
 
+class TokenMetrics:
+    """Tokens by protocol, model and provider, summed up over all tasks by accumulators."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.sums = spark, {}
+
+    def counters(self, protocol: str, model: str, provider: str) -> tuple:
+        """(input, output, total): what tasks add to."""
+        key = (protocol, model, provider)
+        return self.sums.setdefault(key, tuple(self.spark.sparkContext.accumulator(0) for _ in range(3)))
+
+    def record(self, protocol: str, model: str, provider: str, input_tokens: int = 0, output_tokens: int = 0, total_tokens: int | None = None) -> None:
+        for c, n in zip(self.counters(protocol, model, provider), (input_tokens, output_tokens, input_tokens + output_tokens if total_tokens is None else total_tokens), strict=True):
+            c.add(n)
+
+    def totals(self) -> dict[tuple[str, str, str], tuple[int, int, int]]:
+        return {k: tuple(c.value for c in v) for k, v in self.sums.items()}
+
+
 def _make(provider: str | Callable) -> Callable[[], Callable[[list[str]], list[Any]]]:
     if callable(provider):
         return lambda: provider

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -336,6 +337,11 @@ def tensor_to_numpy(rows: list) -> np.ndarray:
     return np.stack([np.array(r["data"]).reshape(r["shape"]) for r in rows])
 
 
+def image_array(images: list[np.ndarray | None]) -> pa.Array:
+    """Pixel arrays as a column of PNG files."""
+    return pa.array([None if p is None else encode_png(np.asarray(p, np.uint8)) for p in images], pa.binary())
+
+
 def url_download(df: DataFrame, column: str, out_column: str = "data") -> DataFrame:
     """Bytes of local paths and file:// URLs; other schemes raise."""
 

@@ -130,3 +130,16 @@ def register_search(df: DataFrame, name: str, column: str, query: list[float], k
 
 def register_fts(df: DataFrame, name: str, query: str, id_column: str, column: str = "text", k: int = 100) -> None:
     full_text_search(df, query, id_column, column, k).createOrReplaceTempView(name)
+
+
+def hybrid_analytical(df: DataFrame, sql: str, id_column: str, vector_query: list[float] | None = None, text_query: str | None = None, vector_column: str = "embedding", text_column: str = "text", k: int = 500, name: str = "hits", metric: str = "cosine") -> DataFrame:
+    """SQL over the rows that a vector search, a text search or both retrieve, under ``name``; with their score."""
+    if vector_query is not None and text_query is not None:
+        found = hybrid_search(df, text_query, vector_query, id_column, text_column, vector_column, k, metric=metric)
+    elif text_query is not None:
+        found = full_text_search(df, text_query, id_column, text_column, k)
+    elif vector_query is not None:
+        found = knn(df, vector_column, vector_query, k, metric, id_column).select(id_column, (1 - F.col("_distance")).alias("score"))
+    else:
+        raise ValueError("a vector, a text or both have to be asked for")
+    return search_then_sql(df.sparkSession, sql, {name: df.join(found, id_column)})

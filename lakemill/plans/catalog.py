@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import threading
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -131,6 +133,39 @@ class Metrics:
         rows = [r for r in self.records if kind in (None, r["kind"]) and status in (None, r["status"])]
         return rows[-limit:][::-1]
 
+    def audit_get(self, at: int) -> dict | None:
+        return self.records[at] if 0 <= at < len(self.records) else None
+
+    def audit_stats(self) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for r in self.records:
+            out[f"{r['kind']}:{r['status']}"] = out.get(f"{r['kind']}:{r['status']}", 0) + 1
+        return out
+
+    def audit_clear(self) -> None:
+        self.records.clear()
+        if self.audit:
+            open(self.audit, "w").close()
+
+    def serve(self, port: int = 0, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+        """/metrics as text, /summary and /records as JSON, by a thread of the driver until ``shutdown`` of what comes back."""
+        own = self
+
+        class Answer(BaseHTTPRequestHandler):
+            def do_GET(self) -> None:  # noqa: N802
+                pages = {"/metrics": own.prometheus_text, "/summary": lambda: json.dumps(own.summary()), "/records": lambda: json.dumps(own.snapshot(), default=str)}
+                page = pages.get(self.path)
+                self.send_response(200 if page else 404)
+                self.end_headers()
+                self.wfile.write((page() if page else "").encode())
+
+            def log_message(self, *args: Any) -> None:
+                pass
+
+        server = ThreadingHTTPServer((host, port), Answer)
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        return server
+
     def snapshot(self) -> list[dict]:
         return list(self.records)
 

@@ -21,6 +21,7 @@ from lakemill.functions import ai, udf
 from lakemill.functions import text as tx
 from lakemill.operators import dedup, media, search, tokens, vectors
 from lakemill.operators.store import scratch, stored
+from lakemill.plans import stages
 from lakemill.plans.catalog import Catalog, Flow, Metrics, dataset_lineage, pipeline_signature
 from lakemill.plans.curation import _BM25, _D, _NORM, _QSQL, Q, docs, emb
 from lakemill.plans.registry import query
@@ -919,3 +920,140 @@ def stream_windows(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
 def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = streaming.windowed_counts(table(spark, sf_dir, "events"), "ts", ["user_id"], "2 hours", "1 hour")
     return w.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "user_id", "n")
+
+
+# stages, transactions, codes, resident vectors
+
+
+@query("pipeline_stages", f"SELECT doc_id, sha256({_NORM}) AS content_hash FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) > 300 AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) BETWEEN 60 AND 100000)")
+def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function over batches, a quality filter and a hash."""
+    import pyarrow.compute as pc
+
+    off = {"min_mean_word_len": 0, "max_mean_word_len": 1e9, "max_symbol_ratio": 2, "min_alpha_word_ratio": -1, "max_dup_line_ratio": 2, "max_top_word_ratio": 2, "max_digit_ratio": 2, "min_stopword_ratio": -1, "max_dup_ngram_ratio": 2}
+    p = stages.RelationPipeline.from_source(docs(spark, sf_dir)).map_batches(lambda t: t.filter(pc.greater(pc.utf8_length(t["text"]), 300)), batch_size=100).quality_filter(min_words=60, **off).content_hash()
+    return p.to_relation().frame.select("doc_id", "content_hash")
+
+
+@query("pipeline_chunks", "SELECT doc_id, i::INTEGER AS chunk_index, substr(text, i * 1024 + 1, 1024) AS chunk FROM documents, unnest(range(0, greatest(ceil((length(text) - 1024) / 1024.0), 0)::BIGINT + 1)) AS t(i) WHERE length(text) > 0")
+def pipeline_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stages.RelationPipeline(docs(spark, sf_dir)).chunk(recursive=False).to_relation().frame.select("doc_id", "chunk_index", "chunk")
+
+
+@passes("pipeline_write_streaming", "SELECT o_orderkey, o_custkey * 2 AS twice FROM orders")
+def pipeline_write_streaming(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """Four shards, each written before the next."""
+    import pyarrow.compute as pc
+
+    p = stages.RelationPipeline(orders(spark, sf_dir), num_shards=4).map_batches(lambda t: pa.table({"o_orderkey": t["o_orderkey"], "twice": pc.multiply(t["o_custkey"], 2)}), "o_orderkey bigint, twice bigint")
+    assert p.write_streaming(at) == 4
+    return spark.read.parquet(at).select("o_orderkey", "twice")
+
+
+@facts("pipeline_run_streaming", "SELECT 3 AS tables, count(*) AS rows, sum(n_nationkey)::BIGINT AS total FROM nation")
+def pipeline_run_streaming(spark: SparkSession, sf_dir: str) -> dict:
+    parts = list(stages.RelationPipeline(table(spark, sf_dir, "nation"), num_shards=3).run_streaming())
+    return {"tables": len(parts), "rows": sum(p.num_rows for p in parts), "total": int(sum(sum(p["n_nationkey"].to_pylist()) for p in parts))}
+
+
+@facts("pipeline_local", "SELECT 25::BIGINT AS rows, (SELECT sum(n_nationkey + 1) FROM nation)::BIGINT AS total, (SELECT count(*) FROM nation WHERE n_regionkey = 1) AS streamed")
+def pipeline_local(spark: SparkSession, sf_dir: str) -> dict:
+    import pyarrow.compute as pc
+
+    add = stages.MapBatchesStage(lambda t: t.set_column(0, "n_nationkey", pc.add(t["n_nationkey"], 1)), batch_size=4)
+    out = stages.Pipeline(table(spark, sf_dir, "nation").toArrow(), [add]).run()
+    got = stages.streaming_transform(Relation(table(spark, sf_dir, "nation")), "SELECT * FROM part WHERE n_regionkey = 1", 2)
+    return {"rows": out.num_rows, "total": int(sum(out["n_nationkey"].to_pylist())), "streamed": sum(b.num_rows for b in got)}
+
+
+@passes("pipeline_files", "SELECT 24 AS height, 32 AS width, 3::BIGINT AS files")
+def pipeline_files(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """Files that are named in a column, loaded and decoded."""
+    picture = media.image_array([np.zeros((24, 32, 3), np.uint8)])[0].as_py()
+    for i in range(3):
+        tokens.write_bytes(spark, f"{at}/{i}.png", picture)
+    paths = sources.list_files(spark, at, (".png",)).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+    out = stages.RelationPipeline(paths).load_files().decode("image", out_column="t").to_relation().frame
+    return out.groupBy("t.height", "t.width").agg(F.count("*").alias("files"))
+
+
+@passes("transaction_rollback", "SELECT r_regionkey, r_name FROM region")
+def transaction_rollback(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    name, con = f"t_{at[-12:]}", Connection(spark)
+    Relation(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).create(name)
+    con.begin()
+    con.insert(name, [99, "gone"])
+    con.update(name, {"r_name": "x"}, "r_regionkey = 0")
+    con.execute(f"CREATE TABLE {name}_new AS SELECT 1 AS a")
+    con.rollback()
+    assert not spark.catalog.tableExists(f"{name}_new")
+    return spark.table(name)
+
+
+@passes("transaction_commit", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 99, 'stays'")
+def transaction_commit(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    name, con = f"t_{at[-12:]}", Connection(spark)
+    Relation(table(spark, sf_dir, "region").select("r_regionkey", "r_name")).create(name)
+    con.begin().execute(f"INSERT INTO {name} VALUES (99, 'stays')")
+    con.commit()
+    return spark.table(name)
+
+
+@query("knn_rerank", _NEAREST)
+def knn_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(vectors.knn_rerank(vectors.quantised(emb(spark, sf_dir)), "embedding", Q, 10, 4, "cosine", "vec_id"))
+
+
+@query("knn_resident", _NEAREST)
+def knn_resident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = emb(spark, sf_dir)
+    return _near(vectors.ResidentVectors([e.where(f"vec_id % 3 = {i}") for i in range(3)], "embedding", "vec_id").search(Q, 10))
+
+
+@query("knn_routed", f"SELECT vec_id, round(1 - list_cosine_similarity({_D}, {_QSQL}), 5) AS d FROM embeddings WHERE label = (SELECT label FROM (SELECT label, {', '.join(f'avg(embedding[{i + 1}]::DOUBLE) AS c{i}' for i in range(64))} FROM embeddings GROUP BY label) ORDER BY 1 - list_cosine_similarity([{', '.join(f'c{i}' for i in range(64))}], {_QSQL}) LIMIT 1) ORDER BY 1 - list_cosine_similarity({_D}, {_QSQL}), vec_id LIMIT 10")
+def knn_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards by label, of which the one with the nearest centroid is searched."""
+    e = emb(spark, sf_dir)
+    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]
+    return _near(vectors.ResidentVectors([e.where(F.col("label") == x) for x in labels], "embedding", "vec_id").search(Q, 10, 1))
+
+
+@query("hybrid_analytical", _BM25 + " SELECT lang, count(*) AS n, round(sum(score), 6) AS total FROM (SELECT doc_id, score FROM score ORDER BY score DESC, doc_id LIMIT 50) JOIN documents USING (doc_id) GROUP BY lang")
+def hybrid_analytical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid_analytical(docs(spark, sf_dir), "SELECT lang, count(*) AS n, round(sum(score), 6) AS total FROM hits GROUP BY lang", "doc_id", text_query="stupid the license", k=50)
+
+
+_OWN = f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings), s AS (SELECT a.i AS i, b.i AS j, {_COS} AS c FROM e a JOIN e b ON b.i < a.i WHERE {_COS} >= 0.5),
+t AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS own UNION ALL SELECT t.i + 1, list_append(any_value(own), coalesce(arg_max(s.j, s.c), t.i + 1)) FROM t LEFT JOIN s ON s.i = t.i + 1 AND own[s.j] = s.j WHERE t.i < (SELECT count(*) FROM e) GROUP BY t.i)
+SELECT e.vec_id, k.vec_id AS semantic_cluster FROM e, (SELECT own FROM t ORDER BY i DESC LIMIT 1) o, e k WHERE k.i = o.own[e.i]"""
+
+
+@query("semantic_dedup_greedy", _OWN)
+def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.semantic_dedup(emb(spark, sf_dir), "vec_id", threshold=0.5, keep_cluster=True).select("vec_id", "semantic_cluster")
+
+
+@facts("token_metrics", "SELECT 2 AS keys, 12 AS input, 5 AS output, 17 AS total")
+def token_metrics(spark: SparkSession, sf_dir: str) -> dict:
+    m = ai.TokenMetrics(spark)
+    m.record("chat", "small", "own", 10, 5)
+    m.record("embed", "small", "own", 2)
+    t = m.totals()
+    return {"keys": len(t), "input": sum(x[0] for x in t.values()), "output": sum(x[1] for x in t.values()), "total": sum(x[2] for x in t.values())}
+
+
+@facts("metrics_served", "SELECT true AS text, 1 AS records, true AS cleared, 'curate:ok' AS kinds")
+def metrics_served(spark: SparkSession, sf_dir: str) -> dict:
+    import json
+    from urllib.request import urlopen
+
+    m = Metrics()
+    m.curate("step", 8, 2)
+    server = m.serve()
+    at = f"http://127.0.0.1:{server.server_address[1]}"
+    text, records = urlopen(f"{at}/metrics").read().decode(), json.loads(urlopen(f"{at}/records").read())  # noqa: S310
+    server.shutdown()
+    kinds = ",".join(m.audit_stats())
+    first = m.audit_get(0)
+    m.audit_clear()
+    return {"text": "lakemill_rows_in 8" in text, "records": len(records), "cleared": m.snapshot() == [] and first["rows_out"] == 2, "kinds": kinds}
