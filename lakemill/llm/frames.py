@@ -64,15 +64,16 @@ def lists(flat: np.ndarray, first: np.ndarray, kind: pa.DataType) -> pa.Array:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, bound: int = TRAIN_ROWS) -> DataFrame:
     """(doc_id, text, y): at most ``bound`` labelled documents in the order of a hash of their ids.
 
-    Rows without id, text or label are left out; of several labels of a document the highest counts.
-    The broadcast side has ``bound`` rows at most whatever the input.
+    Rows without id, text or label are left out; of several labels of a document the highest counts, of several
+    texts the first in order. The broadcast side and the result have ``bound`` rows at most whatever the input.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def fixed(df: DataFrame) -> DataFrame:
