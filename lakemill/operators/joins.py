@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakemill.operators.store import stored
+
 
 def asof_join(left: DataFrame, right: DataFrame, time: str, by: list[str], value: str, out_column: str | None = None) -> DataFrame:
     """Every left row with the value of the last right row of its keys at or before its time, or null.
@@ -26,8 +28,15 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     return points.withColumn("__cell", F.floor(F.col(point) / width)).join(ranges.where(F.col(low) < F.col(high)).withColumn("__cell", cells), "__cell").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("__cell")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16) -> DataFrame:
-    """An inner join for a key with hot values: the left side spread over salts, the right side repeated for each."""
-    spread = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    return spread.join(many, [key, "__salt"]).drop("__salt")
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: int = 1_000_000) -> DataFrame:
+    """An inner join for a key with hot values: rows of a value of more than ``hot`` rows on the left spread over parts of
+    that many, and the right side's rows of such values alone are repeated for each part.
+
+    Counts are aggregated first; there are at most rows / hot hot values, which is what is broadcast.
+    """
+    heavy = stored(left.groupBy(F.col(key).alias("__key")).agg(F.ceil(F.count("*") / hot).alias("__parts")).where("__key IS NOT NULL AND __parts > 1"))
+    parts = F.coalesce("__parts", F.lit(1).cast("bigint"))
+    many = lambda df: df.join(F.broadcast(heavy), F.col(key) == F.col("__key"), "left")
+    spread = many(left).withColumn("__salt", F.pmod(F.xxhash64(*left.columns), parts)).drop("__key", "__parts")
+    again = many(right).withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("__key", "__parts")
+    return spread.join(again, [key, "__salt"]).drop("__salt")

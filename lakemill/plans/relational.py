@@ -218,7 +218,7 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("join_salted", "SELECT l_suppkey, count(*) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL")
 def join_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    return joins.salted_join(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey"), s, "l_suppkey").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return joins.salted_join(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_suppkey"), s, "l_suppkey", hot=100).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 # sets, order, reshaping
