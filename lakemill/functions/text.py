@@ -189,17 +189,18 @@ MARKERS = ("javascript", "lorem ipsum", "terms of service", "terms of use", "pri
 
 def c4_line_filter(df: DataFrame, column: str = "text", out_column: str | None = None, min_words: int = 3, require_terminal_punct: bool = True, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """Lines of enough words that end a sentence and hold no boilerplate; a text without any becomes empty."""
+    ends = (".", "!", "?", '"', "。", "！", "？")
 
-    def good(x: Column) -> Column:
-        ok = F.size(words(x)) >= min_words
-        if require_terminal_punct:
-            ok = ok & x.rlike(r"[.!?\"。！？]$")
-        for m in markers:
-            ok = ok & ~F.lower(x).contains(m)
-        return ok
+    def good(line: str) -> bool:
+        if len(line.split(None, min_words)) < min_words or require_terminal_punct and not line.endswith(ends):
+            return False
+        small = line.lower()
+        return not any(m in small for m in markers)
 
-    lines = F.transform(F.split(col(column), r"\R"), lambda x: F.trim(x))
-    return df.withColumn(out_column or column, F.array_join(F.filter(lines, good), "\n"))
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else "\n".join(x for x in map(str.strip, t.splitlines()) if good(x)) for t in texts.to_pylist()], pa.string())
+
+    return df.withColumn(out_column or column, by_arrow(clean, "string", col(column)))
 
 
 def normalize_unicode(df: DataFrame, column: str = "text", out_column: str | None = None, form: str = "NFC") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import json
 import tarfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,29 +54,63 @@ def tokenize(df: DataFrame, column: str = "text", out_column: str = "input_ids",
 def pack_sequences(df: DataFrame, order_column: str, id_column: str = "input_ids", seq_len: int = 1024, drop_remainder: bool = True, pad_id: int = 0) -> DataFrame:
     """(seq, input_ids, doc_ids): documents one after the other by ``order_column``, cut into windows of seq_len.
 
-    Where each document begins comes from sums per slice of the order and sums inside a slice, so that
-    no task sees all documents. The last window is dropped, or filled with pad_id and document -1.
+    Where each slice of the order begins comes from the sums per slice. A task cuts its slice into windows by itself; only
+    the pieces at both ends of a slice are shuffled. The last window is dropped, or filled with pad_id and document -1.
     """
     docs = df.select(col(order_column).alias("o"), col(id_column).alias("ids")).where("size(ids) > 0")
-    ranged = docs.repartitionByRange("o").sortWithinPartitions("o").withColumn("p", F.spark_partition_id())
-    ranged = stored(ranged)
-    per = ranged.groupBy("p").agg(F.sum(F.size("ids").cast("bigint")).alias("n"), F.count("*").alias("d"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    before = per.select("p", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("b"), F.coalesce(F.sum("d").over(w), F.lit(0)).alias("e"))
-    inside = Window.partitionBy("p").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(F.broadcast(before), "p").select("ids", (F.col("b") + F.coalesce(F.sum(F.size("ids").cast("bigint")).over(inside), F.lit(0))).alias("at"), (F.col("e") + F.row_number().over(Window.partitionBy("p").orderBy("o")) - 1).alias("doc"))
-    size = F.size("ids")
-    first, last = F.floor(F.col("at") / seq_len), F.floor((F.col("at") + size - 1) / seq_len)
-    pieces = placed.select("ids", "at", "doc", F.explode(F.sequence(first, last)).alias("seq"))
-    begin = F.greatest(F.col("seq") * seq_len - F.col("at"), F.lit(0)).cast("int")
-    end = F.least((F.col("seq") + 1) * seq_len - F.col("at"), F.size("ids").cast("bigint")).cast("int")
-    parts = pieces.select("seq", F.struct(F.col("at") + begin, F.slice("ids", begin + 1, end - begin).alias("ids"), "doc").alias("x"))
-    packed = parts.groupBy("seq").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    out = packed.select("seq", F.flatten(F.transform("x", lambda x: x["ids"])).alias("input_ids"), F.flatten(F.transform("x", lambda x: F.array_repeat(x["doc"], F.size(x["ids"])))).alias("doc_ids"))
+    ranged = stored(docs.repartitionByRange("o").sortWithinPartitions("o").select("ids", F.spark_partition_id().alias("p")))
+    per = ranged.groupBy("p").agg(F.sum(F.size("ids").cast("bigint")).alias("n"), F.count("*").alias("d")).orderBy("p").collect()  # a row per partition
+    starts, at, doc = {}, 0, 0
+    for r in per:
+        starts[r["p"]] = (at, doc)
+        at, doc = at + r["n"], doc + r["d"]
+    element = ranged.schema["ids"].dataType.elementType.simpleString()
+
+    def cut(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Whole windows, or the pieces of others, of a slice."""
+
+        def rows(at: int, ids: np.ndarray, docs: np.ndarray, size: int) -> pa.RecordBatch:
+            n = len(ids) // size
+            first = pa.array(np.arange(n + 1) * size, pa.int32())
+            seq = at // seq_len + np.arange(n)
+            return pa.RecordBatch.from_arrays([pa.array(seq), pa.array(at + np.arange(n) * size), pa.ListArray.from_arrays(first, pa.array(ids)), pa.ListArray.from_arrays(first, pa.array(docs))], ["seq", "at", "input_ids", "doc_ids"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if at is None:
+                    at, doc = starts[batch.column("p")[0].as_py()]
+                    kept, owner = None, None
+                lists = batch.column("ids")
+                size = lists.value_lengths().to_numpy()
+                ids, docs = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(doc + np.arange(len(size)), size)
+                doc += len(size)
+                if kept is not None:
+                    ids, docs = np.concatenate([kept, ids]), np.concatenate([owner, docs])
+                head = min(-at % seq_len, len(ids))
+                if head and not whole:
+                    yield rows(at, ids[:head], docs[:head], head)
+                at, ids, docs = at + head, ids[head:], docs[head:]
+                full = len(ids) // seq_len * seq_len
+                if full and whole:
+                    yield rows(at, ids[:full], docs[:full], seq_len)
+                at, kept, owner = at + full, ids[full:], docs[full:]
+            if at is not None and len(kept) and not whole:
+                yield rows(at, kept, owner, len(kept))
+
+        return run
+
+    kind = f"seq bigint, at bigint, input_ids array<{element}>, doc_ids array<bigint>"
+    pieces = ranged.mapInArrow(cut(False), kind).groupBy("seq").agg(F.sort_array(F.collect_list(F.struct("at", "input_ids", "doc_ids"))).alias("x"))
+    joined = pieces.select("seq", *(F.flatten(f"x.{c}").alias(c) for c in ("input_ids", "doc_ids")))
     if drop_remainder:
-        return out.where(F.size("input_ids") == seq_len)
-    fill = lambda x, v: F.concat(x, F.array_repeat(F.lit(v), F.lit(seq_len) - F.size(x)))
-    return out.select("seq", fill(F.col("input_ids"), pad_id).alias("input_ids"), fill(F.col("doc_ids"), -1).cast("array<bigint>").alias("doc_ids"))
+        joined = joined.where(F.size("input_ids") == seq_len)
+    else:
+        fill = lambda c, v: F.concat(c, F.array_repeat(F.lit(v), F.lit(seq_len) - F.size(c)))
+        joined = joined.select("seq", fill("input_ids", pad_id).cast(f"array<{element}>").alias("input_ids"), fill("doc_ids", -1).cast("array<bigint>").alias("doc_ids"))
+    return ranged.mapInArrow(cut(True), kind).drop("at").unionByName(joined)
 
 
 # shards

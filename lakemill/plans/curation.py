@@ -395,7 +395,14 @@ def knn_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.knn_batch(emb(spark, sf_dir), "embedding", {i: [x + i for x in Q] for i in (1, 2, 3)}, 5, "cosine", "vec_id").select("query_id", "vec_id", "rank")
 
 
-@query("mmr")
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query("mmr", f"""
+WITH RECURSIVE c AS (SELECT vec_id, embedding, list_cosine_similarity({_D}, {_QSQL}) AS rel FROM embeddings ORDER BY 1 - list_cosine_similarity({_D}, {_QSQL}), vec_id LIMIT 50),
+s AS (SELECT a.vec_id, any_value(a.rel) AS rel, map(list(b.vec_id), list({_COS})) AS likeness FROM c a, c b GROUP BY a.vec_id),
+t AS (SELECT 0 AS n, []::BIGINT[] AS chosen UNION ALL SELECT t.n + 1, list_append(t.chosen, arg_max(s.vec_id, round(0.5 * s.rel - 0.5 * coalesce(list_max(list_transform(t.chosen, lambda x: s.likeness[x])), 0.0), 12))) FROM t, s WHERE t.n < 10 AND NOT list_contains(t.chosen, s.vec_id) GROUP BY t.n, t.chosen)
+SELECT unnest(chosen) AS vec_id, generate_subscripts(chosen, 1)::INTEGER AS mmr_rank FROM (SELECT chosen FROM t ORDER BY n DESC LIMIT 1)""")
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = vectors.knn(emb(spark, sf_dir), "embedding", Q, 50, "cosine", "vec_id")
     return vectors.mmr(near, "embedding", Q, 10, id_column="vec_id").select("vec_id", "mmr_rank")
@@ -407,7 +414,26 @@ def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.assign_clusters(e, vectors.kmeans(e, k=8, max_iter=10)).select("vec_id", "cluster")
 
 
-@query("semantic_dedup")
+@query("kmeans_converged", "SELECT vec_id, true AS nearest FROM embeddings")
+def kmeans_converged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every vector is in the cluster of the nearest mean once the means no longer move."""
+    import numpy as np
+
+    e = emb(spark, sf_dir)
+    found = vectors.assign_clusters(e, vectors.kmeans(e, k=8, max_iter=200, tol=0.0))
+    means = found.groupBy("cluster").agg(*(F.avg(F.col("embedding")[i].cast("double")).alias(f"m{i}") for i in range(64))).orderBy("cluster").collect()
+    again = vectors.assign_clusters(found, np.array([r[1:] for r in means]), out_column="again")
+    number = {r["cluster"]: i for i, r in enumerate(means)}
+    return again.select("vec_id", (F.create_map(*(F.lit(x) for kv in number.items() for x in kv))[F.col("cluster")] == F.col("again")).alias("nearest"))
+
+
+def greedy_sql(threshold: float) -> str:
+    return f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings), s AS (SELECT a.i AS i, b.i AS j, {_COS} AS c FROM e a JOIN e b ON b.i < a.i WHERE {_COS} >= {threshold}),
+t AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS own UNION ALL SELECT t.i + 1, list_append(any_value(own), coalesce(arg_max(s.j, s.c), t.i + 1)) FROM t LEFT JOIN s ON s.i = t.i + 1 AND own[s.j] = s.j WHERE t.i < (SELECT count(*) FROM e) GROUP BY t.i)
+SELECT e.vec_id, k.vec_id AS semantic_cluster FROM e, (SELECT own FROM t ORDER BY i DESC LIMIT 1) o, e k WHERE k.i = o.own[e.i]"""
+
+
+@query("semantic_dedup", greedy_sql(0.9))
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.semantic_dedup(emb(spark, sf_dir), "vec_id", threshold=0.9, keep_cluster=True).select("vec_id", "semantic_cluster")
 

@@ -23,7 +23,7 @@ from lakemill.operators import dedup, media, search, tokens, vectors
 from lakemill.operators.store import scratch, stored
 from lakemill.plans import stages
 from lakemill.plans.catalog import Catalog, Flow, Metrics, dataset_lineage, pipeline_signature
-from lakemill.plans.curation import _BM25, _D, _NORM, _QSQL, Q, docs, emb
+from lakemill.plans.curation import _BM25, _COS, _D, _NORM, _QSQL, Q, docs, emb, greedy_sql
 from lakemill.plans.registry import query
 from lakemill.relation import Relation
 from lakemill.sources.versioned import Dataset
@@ -720,9 +720,6 @@ def register_fts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT doc_id, round(score, 6) AS score FROM lakemill_texts")
 
 
-_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
-
-
 @query("semantic_clusters", f"""
 WITH RECURSIVE alike AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND {_COS} >= 0.5),
 reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, alike.b FROM reach JOIN alike ON alike.a = reach.b) SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
@@ -1023,12 +1020,7 @@ def hybrid_analytical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.hybrid_analytical(docs(spark, sf_dir), "SELECT lang, count(*) AS n, round(sum(score), 6) AS total FROM hits GROUP BY lang", "doc_id", text_query="stupid the license", k=50)
 
 
-_OWN = f"""WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, embedding FROM embeddings), s AS (SELECT a.i AS i, b.i AS j, {_COS} AS c FROM e a JOIN e b ON b.i < a.i WHERE {_COS} >= 0.5),
-t AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS own UNION ALL SELECT t.i + 1, list_append(any_value(own), coalesce(arg_max(s.j, s.c), t.i + 1)) FROM t LEFT JOIN s ON s.i = t.i + 1 AND own[s.j] = s.j WHERE t.i < (SELECT count(*) FROM e) GROUP BY t.i)
-SELECT e.vec_id, k.vec_id AS semantic_cluster FROM e, (SELECT own FROM t ORDER BY i DESC LIMIT 1) o, e k WHERE k.i = o.own[e.i]"""
-
-
-@query("semantic_dedup_greedy", _OWN)
+@query("semantic_dedup_greedy", greedy_sql(0.5))
 def semantic_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.semantic_dedup(emb(spark, sf_dir), "vec_id", threshold=0.5, keep_cluster=True).select("vec_id", "semantic_cluster")
 

@@ -224,5 +224,5 @@ def test_joins_over_whole_tables(spark, tmp_path):
     spark.createDataFrame([(10, 1), (11, 2), (12, 2), (13, 8), (14, 9), (15, None)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     both, left, right = {(1, 10), (2, 11), (2, 12)}, {(3, None), (4, None), (5, None)}, {(None, 13), (None, 14), (None, 15)}
     for how, want in {"inner": both, "left": both | left, "right": both | right, "outer": both | left | right}.items():
-        rows = [tuple(r) for r in QUERIES[f"join_whole_{how}"](spark, str(tmp_path)).select("c_custkey", "o_orderkey").collect()]
+        rows = [tuple(r) for r in QUERIES[f"join_{how}"](spark, str(tmp_path)).select("c_custkey", "o_orderkey").collect()]
         assert len(rows) == len(want) and set(rows) == want
