@@ -74,3 +74,34 @@ def fingerprints(docs: DataFrame, k: int = K, size: int = TUPLE, sketches: int =
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(x.ravel(), np.arange(len(x) + 1) * sketches, pa.int64())], ["doc_id", "signature"])
 
     return by_chunk(docs.select("doc_id", "text"), run, "doc_id bigint, signature array<bigint>")
+
+
+def signatures_sql(k: int = K, size: int = TUPLE, sketches: int = SKETCHES) -> str:
+    """The same in SQL, over numbers of 128 bits modulo 2 ** 64."""
+    word, full = "::UHUGEINT", "18446744073709551616::UHUGEINT"
+
+    def mix(x: str, seed: str) -> str:
+        begin = f"xor({x}, (({seed}){word} * {0xD1342543DE82EF95}{word} + {0x2545F4914F6CDD1D}{word}) % {full})"
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            begin = f"list_transform([{begin}], lambda m{shift}: (xor(m{shift}, m{shift} // {1 << shift}{word}) * {factor}{word}) % {full})[1]"
+        return f"list_transform([{begin}], lambda m: xor(m, m // {1 << 31}{word}))[1]"
+
+    fold = f"list_transform([((acc + x) % {full} * {0x9FB21C651E98DF25}{word}) % {full}], lambda f: xor(f, f // {1 << 32}{word}))[1]"
+    sign = "0::UHUGEINT"
+    for j in range(size):
+        sign = f"list_transform([{sign}], lambda s{j}: {mix(f'((s{j} * {0x9FB21C651E98DF25}{word} + coalesce(chosen[{j + 1}].b, 0{word})) % {full})', str(j + 1))})[1]"
+    return rf"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+') AS ws FROM documents),
+kinds AS (SELECT DISTINCT unnest(ws) AS w FROM texts),
+hashed AS (SELECT w, {mix(f"((list_reduce(list_reverse(list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: ('0x' || x)::INTEGER{word} + 1{word})), lambda acc, x: (acc * {kernel._B}{word} + x) % {full}, 0{word}) + strlen(w){word}) % {full})", '0')} AS h FROM kinds),
+places AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS w FROM texts),
+lists AS (SELECT r, list(h ORDER BY i) AS hs FROM places JOIN hashed USING (w) GROUP BY r),
+grams AS (
+  SELECT r, i, list_reduce(hs[i : i + {k - 1}], lambda acc, x: {fold}, 0{word}) AS g FROM lists, unnest(range(1, greatest(len(hs) - {k} + 2, 1))) AS t(i) WHERE len(hs) >= {k}
+  UNION ALL
+  SELECT r, 1, list_reduce(hs, lambda acc, x: {mix(f'((acc + x) % {full})', '7')}, 0{word}) FROM lists WHERE len(hs) < {k}),
+based AS (SELECT r, i, {mix(f"((g + (row_number() OVER (PARTITION BY r, g ORDER BY i) - 1){word} * {0xC2B2AE3D27D4EB4F}{word}) % {full})", '11')} AS b FROM grams),
+ranked AS (SELECT r, k, list_sort(list_transform(min({{'v': v, 'i': i, 'b': b}}, {size}), lambda x: {{'i': x.i, 'b': x.b}})) AS chosen FROM (SELECT r, i, b, k, {mix('b', '100 + k')} AS v FROM based, range(0, {sketches}) AS t(k)) GROUP BY r, k),
+signs AS (SELECT r, k, {sign} AS s FROM ranked)
+SELECT doc_id, coalesce((SELECT list((CASE WHEN s >= 9223372036854775808{word} THEN s::HUGEINT - 18446744073709551616::HUGEINT ELSE s::HUGEINT END)::BIGINT ORDER BY k) FROM signs WHERE signs.r = texts.r), list_transform(range(0, {sketches}), lambda x: 0::BIGINT)) AS signature FROM texts
+"""

@@ -68,4 +68,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {"op3_ngram_join": ngram_join.CLASSES_SQL, "op10_decontaminate": decontaminate.SPANS_SQL}
+SQL: dict[str, str] = {
+    "op3_ngram_join": ngram_join.CLASSES_SQL,
+    "op7_token_counts": token_count.COUNTS_SQL,
+    "op8_fingerprints": fingerprint.signatures_sql(),
+    "op9_byte_bpe": bpe.ROUND_TRIP_SQL,
+    "op10_decontaminate": decontaminate.SPANS_SQL,
+}

@@ -166,3 +166,19 @@ def count(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(total[first]), mask=texts.is_null().to_numpy(zero_copy_only=False))], ["doc_id", "n_tokens"])
 
     return by_chunk(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint")
+
+
+#: The same by a recursion over all distinct words at once: of every word the longest piece at its place, until none is left.
+COUNTS_SQL = rf"""
+WITH RECURSIVE pieces AS (SELECT hex(from_base64(piece)) AS p, octet_length(from_base64(piece)) AS n FROM read_csv('{VOCABULARY}', delim = ' ', header = false, quote = '', escape = '', columns = {{'piece': 'VARCHAR', 'rank': 'BIGINT'}})),
+texts AS (SELECT row_number() OVER () AS r, doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents),
+words AS (SELECT r, unnest(ws) AS w FROM texts),
+kinds AS (SELECT DISTINCT w, '20' || hex(encode(w)) AS h, strlen(w) + 1 AS size FROM words),
+steps AS (
+  SELECT w, h, size, 0::BIGINT AS place, 0 AS k FROM kinds
+  UNION ALL
+  SELECT w, h, size, place + max(pieces.n), k + 1 FROM (SELECT w, h, size, place, k, unnest(range(1, least(size - place, (SELECT max(n) FROM pieces)) + 1)) AS n FROM steps WHERE place < size) AS s
+  JOIN pieces ON pieces.n = s.n AND pieces.p = substr(s.h, 2 * s.place::INTEGER + 1, 2 * s.n::INTEGER) GROUP BY w, h, size, place, k),
+counts AS (SELECT w, max(k) AS k FROM steps WHERE place = size GROUP BY w)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce((SELECT sum(k) FROM words JOIN counts USING (w) WHERE words.r = texts.r), 0)::BIGINT END AS n_tokens FROM texts
+"""

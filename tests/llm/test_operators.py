@@ -830,6 +830,19 @@ def test_no_localcheckpoint_and_no_caps():
         assert "localCheckpoint" not in p.read_text()
 
 
+@pytest.mark.parametrize("name", ["op3_ngram_join", "op7_token_counts", "op8_fingerprints", "op9_byte_bpe", "op10_decontaminate"])
+def test_queries_in_sql(spark, sf, name):
+    from lakemill.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want = con.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, sf).select(*want.columns)
+    plain = lambda rows: sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in rows), key=repr)
+    assert plain(got.collect()) == plain(want.fetchall())
+
+
 @pytest.mark.parametrize("n", range(1, 11))
 def test_every_query_runs(spark, sf, n):
     from lakemill.llm import queries
