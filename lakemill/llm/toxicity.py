@@ -65,7 +65,7 @@ class Machine:
         return out
 
 
-def paired(buckets: np.ndarray, doc: np.ndarray, terms: np.ndarray, y: np.ndarray, step: int = 2048) -> np.ndarray:
+def paired(buckets: np.ndarray, doc: np.ndarray, terms: np.ndarray, y: np.ndarray, step: int = 1024, wide: int = 768) -> np.ndarray:
     """Which of the terms occur with some other otherwise in toxic documents than in the rest, each one's own share apart."""
     place = np.full(BUCKETS, -1)
     place[terms] = np.arange(len(terms))
@@ -78,22 +78,23 @@ def paired(buckets: np.ndarray, doc: np.ndarray, terms: np.ndarray, y: np.ndarra
     share = [np.bincount(at[y[doc] == k], minlength=len(terms)) / max(len(d), 1) for k, d in ((1, sides[0]), (0, sides[1]))]
     row = np.searchsorted(used, doc)
     edge = np.searchsorted(row, np.arange(0, len(used) + step, step))
-    for a in range(0, len(terms), step):
-        both = [np.zeros((min(step, len(terms) - a), len(terms)), np.float32) for _ in sides]
+    for a in range(0, len(terms), wide):
+        here = min(wide, len(terms) - a)
+        both = [np.zeros((here, len(terms)), np.float32) for _ in sides]
         for i, (p, q) in enumerate(zip(edge, edge[1:], strict=False)):
             x = np.zeros((min(step, len(used) - i * step), len(terms)), np.float32)
             x[row[p:q] - i * step, at[p:q]] = 1
             for k, side in ((0, toxic), (1, ~toxic)):
                 own = x[side[i * step : i * step + step]]
-                both[k] += own[:, a : a + step].T @ own
+                both[k] += own[:, a : a + here].T @ own
         differ, error = np.zeros_like(both[0]), np.full(both[0].shape, 1e-12, np.float32)
         for k, sign in ((0, 1), (1, -1)):
-            n, p, q = max(len(sides[k]), 1), share[k][a : a + step, None].astype(np.float32), share[k][None].astype(np.float32)
+            n, p, q = max(len(sides[k]), 1), share[k][a : a + here, None].astype(np.float32), share[k][None].astype(np.float32)
             differ += sign * (both[k] / n - p * q)
             error += (p * (1 - p) + 1 / n) * (q * (1 - q) + 1 / n) / n
         far = np.abs(differ) > TOGETHER * np.sqrt(error)
-        far[np.arange(far.shape[0]), a + np.arange(far.shape[0])] = False
-        told[a : a + step] |= far.any(axis=1)
+        far[np.arange(here), a + np.arange(here)] = False
+        told[a : a + here] |= far.any(axis=1)
     return told
 
 
