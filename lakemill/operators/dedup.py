@@ -141,7 +141,8 @@ def fuzzy_pairs(df: DataFrame, id_column: str, column: str = "text", num_hashes:
 
     Texts of equal sets collapse to their smallest id before pairs are made. In a band of up to CROWD texts all pairs are
     compared; a larger one is put in the order of the next band's keys, and each text meets the first and its NEIGHBOURS next ones,
-    so that the work grows with the texts. Sets are compared by 64-bit hashes.
+    so that the work grows with the texts; a link between others of such a band is lost unless another band gives it.
+    Sets are compared by 64-bit hashes.
     """
     b, rows = (bands, num_hashes // bands) if bands else recall_lsh_bands(threshold, num_hashes)
 
