@@ -46,6 +46,24 @@ def test_quality_rules_in_order(spark):
         tx.quality_filter(df, no_such=1)
 
 
+def test_top_word_of_texts_in_one_chunk():
+    """A character in a text and another in another text once had the same key in the sort that counts words."""
+    texts = [" ".join([chr(i + 76)] * 5 + [chr(i + 300)]) for i in range(400)]
+    texts[49], texts[159] = "ê x", "| a | b | c | d"
+    top = kernels.signals(pa.array(texts))["top_word_ratio"]
+    assert top[159] == 4 / 8 and top[49] == 1 / 2
+
+
+def test_round_as_sql(spark):
+    import duckdb
+
+    from lakemill.plans.curation import sql_round
+
+    at = [(333 / 640,), (323 / 640,), (41 / 640,), (1 / 3,), (0.0,), (None,)]
+    want = [duckdb.sql(f"SELECT round({x!r}::DOUBLE, 6)").fetchall()[0][0] if x is not None else None for (x,) in at]
+    assert [r.x for r in frame(spark, at, "x double").coalesce(1).select(sql_round("x")).collect()] == want
+
+
 def test_languages(spark):
     df = frame(spark, [(1, "the cat and the dog of it"), (2, "der Hund und die Katze ist nicht"), (3, "это русский текст"), (4, "中文文本"), (5, ""), (6, "le chat est dans une maison que les")])
     assert [r.lang for r in tx.detect_language(df).orderBy("id").collect()] == ["en", "de", "ru", "zh", "und", "fr"]
