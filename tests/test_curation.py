@@ -69,6 +69,11 @@ def test_languages(spark):
     assert [r.lang for r in tx.detect_language(df).orderBy("id").collect()] == ["en", "de", "ru", "zh", "und", "fr"]
 
 
+def test_entities_without_a_semicolon_stay(spark):
+    pages = frame(spark, [(1, "<title>a&amp;b&amp</title>&eacute;&#233;&lt;x&quot</p>"), (2, "a<!-- <script> -->b<script>c</script>d")], "id bigint, html string")
+    assert [r.text for r in tx.html_to_text(pages).orderBy("id").collect()] == ["a&b&amp éé<x&quot", "a b d"]
+
+
 def test_lines_and_encodings(spark):
     df = frame(spark, [(1, "Shared line.\nown one here."), (2, "shared  LINE.\n\nother text."), (3, None)])
     assert [r.text for r in dedup.corpus_line_dedup(df, "id").orderBy("id").collect()] == ["own one here.", "\nother text.", None]
