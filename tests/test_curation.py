@@ -74,6 +74,21 @@ def test_entities_without_a_semicolon_stay(spark):
     assert [r.text for r in tx.html_to_text(pages).orderBy("id").collect()] == ["a&b&amp éé<x&quot", "a b d"]
 
 
+def test_blend_shares_and_rows(spark):
+    """Halves go up as in SQL, and rows are those of the smallest hashes, without one task for all."""
+    df = frame(spark, [(i, "x") for i in range(6)])
+    mixed = tx.blend_datasets([df.where("id < 3"), df.where("id >= 3")], "id", [3, 1])
+    got = [r.id for r in mixed.collect()]
+    assert sum(i < 3 for i in got) == 5 and sum(i >= 3 for i in got) == 2 and max(map(got.count, got)) == 2
+    many = spark.range(3000).withColumn("text", F.lit("x"))
+    order = [r.id for r in many.orderBy(F.xxhash64("id", F.lit(0)), "id").collect()]
+    for n in (1, 1500, 2999, 3000, 3001, 7000):
+        part = tx.blend_datasets([many], "id", total_rows=n)
+        assert [r.id for r in part.collect()] == (order * 3)[:n]
+        assert n != 3000 or "GlobalLimit" not in part._jdf.queryExecution().toString()
+    assert tx.blend_datasets([many], "id", total_rows=0).count() == 0
+
+
 def test_lines_and_encodings(spark):
     df = frame(spark, [(1, "Shared line.\nown one here."), (2, "shared  LINE.\n\nother text."), (3, None)])
     assert [r.text for r in dedup.corpus_line_dedup(df, "id").orderBy("id").collect()] == ["own one here.", "\nother text.", None]
