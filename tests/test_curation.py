@@ -89,6 +89,19 @@ def test_blend_shares_and_rows(spark):
     assert tx.blend_datasets([many], "id", total_rows=0).count() == 0
 
 
+def test_kmeans_goes_on_until_means_stay(spark):
+    """Two far points make the sum of squares so large that the moves of the other means don't show in it."""
+    points = np.array([[1e12, 1e9], [1e12, -1e9], *([i / 100, 0.0] for i in range(100))])
+    df = spark.createDataFrame([(p.tolist(),) for p in points], "embedding array<double>")
+    for seed in range(40):
+        first = [r[0][0] for r in df.orderBy(F.xxhash64("embedding", F.lit(seed)), "embedding").limit(3).collect()]
+        if sum(x > 1e9 for x in first) == 1 and max(x for x in first if x < 1e9) < 0.3:
+            break
+    found = vectors.kmeans(df, k=3, max_iter=1000, tol=0.0, seed=seed)
+    at = vectors.assign(points, found)
+    assert all(np.allclose(points[at == c].mean(0), found[c], rtol=1e-12, atol=1e-12) for c in range(3))
+
+
 def test_lines_and_encodings(spark):
     df = frame(spark, [(1, "Shared line.\nown one here."), (2, "shared  LINE.\n\nother text."), (3, None)])
     assert [r.text for r in dedup.corpus_line_dedup(df, "id").orderBy("id").collect()] == ["own one here.", "\nother text.", None]
