@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import json
 import tarfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,16 @@ def byte_lists(texts: pa.Array, end: int | None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(data))
 
 
+def split_lists(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose lists hold about ``limit`` values together, one row at least."""
+    if not batch.num_rows:
+        return
+    part = np.cumsum(pc.fill_null(batch.column(column).value_lengths(), 0).to_numpy().astype(np.int64)) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
 def tokenize(df: DataFrame, column: str = "text", out_column: str = "input_ids", tokenizer: str | Callable[[str], list[int]] = "bytes", add_eos: bool = True, eos_id: int | None = None, n_tokens_column: str = "n_tokens") -> DataFrame:
     """Ids of bytes, or what a function gives, and an end mark; null text counts as empty."""
     x = F.coalesce(col(column), F.lit(""))
@@ -77,9 +89,7 @@ def pack_sequences(df: DataFrame, order_column: str, id_column: str = "input_ids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in (part for b in batches for part in split_lists(b, "ids")):
                 if at is None:
                     at, doc = starts[batch.column("p")[0].as_py()]
                     kept, owner = None, None
@@ -201,33 +211,120 @@ def write_mds(df: DataFrame, folder: str, order_column: str, rows_per_shard: int
     return index
 
 
-def _flat(t: pa.Table, column: str, dtype: str) -> tuple[bytes, dict]:
-    lists = t[column].combine_chunks()
-    ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.dtype(dtype).newbyteorder("<"))
-    ends = np.cumsum(np.diff(lists.offsets.to_numpy())).tolist()
-    return ids.tobytes(), {"dtype": dtype, "tokens": len(ids), "documents": len(lists), "ends": ends}
+SLICE_TOKENS = 1 << 24
 
 
-def write_token_shards(df: DataFrame, folder: str, order_column: str, column: str = "input_ids", dtype: str = "int32", rows_per_shard: int = 100_000) -> list[tuple]:
-    """Flat little-endian .bin files and .idx.json files with where documents end."""
+def sliced(df: DataFrame, order_column: str, column: str, rows_per_shard: int) -> tuple[DataFrame, dict[int, int], dict[tuple[int, int], int]]:
+    """(p, ids) in slices of the order of some SLICE_TOKENS, sorted, each in one task; the first row of each slice, and in which token of a shard its part of the shard begins.
 
-    def body(t: pa.Table, shard: int) -> list[tuple[str, bytes]]:
-        data, index = _flat(t, column, dtype)
-        return [(f"tokens-{shard:05d}.bin", data), (f"tokens-{shard:05d}.idx.json", json.dumps(index).encode())]
+    Places come from the keys and lengths alone, so that the lists are shuffled once and never stored.
+    """
+    keys = stored(df.select(col(order_column).alias("o"), F.coalesce(F.size(col(column)), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)).cast("bigint")))
+    total = keys.agg(F.sum(F.col("n") + 16)).first()[0] or 0
+    count = -(-total // SLICE_TOKENS) or 1
+    ranged = keys.select("o").repartitionByRange(count, "o").withColumn("p", F.spark_partition_id())
+    bounds = [r["o"] for r in ranged.groupBy("p").agg(F.min("o").alias("o")).orderBy("p").collect()[1:] if r["o"] is not None] if count > 1 else []  # a row per slice
+    limits = F.array(*(F.lit(b) for b in bounds))
+    at = lambda o: F.size(F.filter(limits, lambda b: b <= o)) if bounds else F.lit(0)
+    first, row = {}, 0
+    for r in keys.groupBy(at(F.col("o")).alias("p")).count().orderBy("p").collect():
+        first[r["p"]] = row
+        row += r["count"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, row = -1, 0
+        for b in batches:
+            size, slices = b.column("n").to_numpy(), b.column("p").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if slices[i] != p:
+                    p = int(slices[i])
+                    row = first[p]
+                shards = (row + np.arange(j - i)) // rows_per_shard
+                each, where = np.unique(shards, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(each), p)), pa.array(each), pa.array(np.add.reduceat(size[i:j], where))], ["p", "shard", "n"])
+                row += j - i
+
+    narrow = keys.withColumn("p", at(F.col("o"))).repartition("p").sortWithinPartitions("p", "o", "n")
+    begins: dict[tuple[int, int], int] = {}
+    now, token = None, 0
+    for r in narrow.mapInArrow(parts, "p bigint, shard bigint, n bigint").groupBy("shard", "p").agg(F.sum("n").alias("n")).orderBy("shard", "p").collect():  # a row per slice and shard
+        if r["shard"] != now:
+            now, token = r["shard"], 0
+        begins[r["p"], r["shard"]] = token
+        token += r["n"]
+    x = df.select(col(order_column).alias("o"), col(column).alias("ids"))
+    size = F.greatest(F.coalesce(F.size("ids"), F.lit(0)), F.lit(0))
+    return x.withColumn("p", at(F.col("o"))).withColumn("n", size).repartition(count, "p").sortWithinPartitions("p", "o", "n").select("p", "ids"), first, begins
+
+
+def _write_flat(df: DataFrame, folder: str, order_column: str, column: str, dtype: str, rows_per_shard: int, name: str) -> list[tuple]:
+    """Flat .bin files and .idx.json files: each task writes its slice where it belongs in the shards' files, which then get their names."""
+    local = folder.removeprefix("file://")
+    if "://" in local:
+        raise ValueError("shards of own formats are written to mounted folders; write Parquet for other stores")
+    frame, first, begins = sliced(df, order_column, column, rows_per_shard)
+    kind, run_id = np.dtype(dtype).newbyteorder("<"), uuid.uuid4().hex
+    part = lambda shard: f"{local}/.{name}-{shard:05d}.bin.{run_id}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.makedirs(local, exist_ok=True)
+        p, row, token = -1, 0, {}
+        for b in batches:
+            for b in split_lists(b, "ids"):
+                lists, slices = b.column("ids"), b.column("p").to_numpy()
+                ends = np.concatenate([[0], np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64))])
+                ids = lists.flatten().to_numpy(zero_copy_only=False).astype(kind)
+                i = 0
+                while i < len(slices):
+                    if slices[i] != p:
+                        p = int(slices[i])
+                        row = first[p]
+                    shard, inside = divmod(row, rows_per_shard)
+                    j = min(i + rows_per_shard - inside, int(np.searchsorted(slices, p, "right")))
+                    at = token.pop((p, shard), begins[p, shard])
+                    with open(os.open(part(shard), os.O_CREAT | os.O_WRONLY, 0o644), "wb") as f:
+                        f.seek(at * kind.itemsize)
+                        f.write(ids[ends[i] : ends[j]].tobytes())
+                    token[p, shard] = at + int(ends[j] - ends[i])
+                    where = at + ends[i + 1 : j + 1] - ends[i]
+                    yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([inside]), pa.array([where], pa.list_(pa.int64()))], ["shard", "row", "ends"])
+                    row += j - i
+                    i = j
+
+    def finish(t: pa.Table) -> pa.Table:
+        import os
+
+        shard = t["shard"][0].as_py()
+        ends = t.sort_by("row")["ends"].combine_chunks().flatten().to_pylist()
+        tokens = ends[-1] if ends else 0
+        index = json.dumps({"dtype": dtype, "tokens": tokens, "documents": len(ends), "ends": ends}).encode()
+        own, to = f"{local}/.{name}-{shard:05d}.idx.json.{os.getpid()}", f"{local}/{name}-{shard:05d}"
+        if os.path.exists(part(shard)):  # else this task has run before
+            os.replace(part(shard), f"{to}.bin")
+        with open(own, "wb") as f:
+            f.write(index)
+        os.replace(own, f"{to}.idx.json")
+        return pa.table({"name": [f"{name}-{shard:05d}.bin", f"{name}-{shard:05d}.idx.json"], "rows": pa.array([len(ends)] * 2, pa.int64()), "bytes": pa.array([tokens * kind.itemsize, len(index)], pa.int64())})
+
+    placed = stored(frame.mapInArrow(write, "shard bigint, row bigint, ends array<bigint>"))
+    placed.count()  # all slices are written before a file gets its name
+    return sorted(tuple(r) for r in placed.groupBy("shard").applyInArrow(finish, "name string, rows bigint, bytes bigint").collect())
 
-    return _write_groups(numbered(df.select(order_column, column), order_column, rows_per_shard), "__shard", body, folder)
+
+def write_token_shards(df: DataFrame, folder: str, order_column: str, column: str = "input_ids", dtype: str = "int32", rows_per_shard: int = 100_000) -> list[tuple]:
+    """Flat little-endian .bin files and .idx.json files with where documents end."""
+    return _write_flat(df, folder, order_column, column, dtype, rows_per_shard, "tokens")
 
 
 def write_shuffled_shards(df: DataFrame, folder: str, key_column: str, column: str = "input_ids", n_shards: int = 8, dtype: str = "int32", seed: int = 0) -> list[tuple]:
     """n shards of documents in the order of a seeded hash of their keys."""
     hashed = df.select(F.xxhash64(col(key_column), F.lit(seed)).alias("__h"), col(column))
-    per = -(-df.count() // n_shards) or 1
-
-    def body(t: pa.Table, shard: int) -> list[tuple[str, bytes]]:
-        data, index = _flat(t, column, dtype)
-        return [(f"shuffled-{shard:05d}.bin", data), (f"shuffled-{shard:05d}.idx.json", json.dumps(index).encode())]
-
-    return _write_groups(numbered(hashed, "__h", per), "__shard", body, folder)
+    return _write_flat(hashed, folder, "__h", column, dtype, -(-df.count() // n_shards) or 1, "shuffled")
 
 
 def read_token_shard(path: str) -> list[np.ndarray]:

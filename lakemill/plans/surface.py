@@ -296,23 +296,35 @@ def write_webdataset(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
 
 
 def _token_rows(spark: SparkSession, at: str) -> DataFrame:
-    """(n, md5) of every document of token shards, read back by tasks."""
+    """(n, md5) of every document of token shards, read back by tasks, some million tokens of a shard at a time."""
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for batch in batches:
+            for path, index in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                ends = np.array(json.loads(index)["ends"], np.int64)
+                cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + 1, 1 << 22))).tolist() if len(ends) else [0]
+                for a, b in zip(cuts, [*cuts[1:], len(ends)], strict=True):
+                    yield pa.RecordBatch.from_pydict({"path": [path], "first": [int(ends[a - 1]) if a else 0], "ends": pa.array([ends[a:b]], pa.list_(pa.int64()))})
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
-        import json
+        import re
 
         for batch in batches:
-            for index, data in zip(batch.column("index").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                meta = json.loads(index)
-                ids = np.frombuffer(data, "<i4")
-                parts = np.split(ids, meta["ends"][:-1]) if meta["ends"] else []
+            for path, first, ends in zip(batch.column("path").to_pylist(), batch.column("first").to_pylist(), batch.column("ends"), strict=True):
+                ends = ends.values.to_numpy()
+                if not len(ends):
+                    continue
+                ids = np.fromfile(re.sub("^file:/+", "/", path).removesuffix(".idx.json") + ".bin", "<i4", int(ends[-1]) - first, offset=4 * first)
+                if len(ids) != ends[-1] - first:
+                    raise ValueError(f"{path}: the shard is shorter than its index says")
+                parts = np.split(ids, ends[:-1] - first)
                 yield pa.RecordBatch.from_pydict({"n": [len(p) for p in parts], "h": [hashlib.md5(bytes(p[:-1].astype(np.uint8))).hexdigest() for p in parts]})
 
-    f = sources.list_files(spark, at, content=True)
-    stem = F.regexp_replace(F.col("path"), r"\.(bin|idx\.json)$", "")
-    both = f.where("path LIKE '%.bin'").select(stem.alias("s"), F.col("content").alias("data")).join(f.where("path LIKE '%.json'").select(stem.alias("s"), F.col("content").alias("index")), "s")
-    return both.select("index", "data").mapInArrow(read, "n bigint, h string")
+    indexes = sources.list_files(spark, f"{at}/*.idx.json", content=True).select("path", "content")  # a filter by ending would read the others too
+    return indexes.mapInArrow(pieces, "path string, first bigint, ends array<bigint>").repartition(spark.sparkContext.defaultParallelism * 4).mapInArrow(read, "n bigint, h string")
 
 
 _TOKEN_ROWS = "SELECT strlen(text) + 1 AS n, md5(text) AS h FROM documents"

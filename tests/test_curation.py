@@ -102,6 +102,30 @@ def test_kmeans_goes_on_until_means_stay(spark):
     assert all(np.allclose(points[at == c].mean(0), found[c], rtol=1e-12, atol=1e-12) for c in range(3))
 
 
+def test_flat_shards_across_slices(spark, tmp_path, monkeypatch):
+    """Slices end inside shards and shards inside slices; equal keys, null lists and empty ones come through whole, in order."""
+    monkeypatch.setattr(tokens, "SLICE_TOKENS", 500)
+    rows = [(i // 2, None if i == 7 else list(range(i, i + i % 23)), i) for i in range(300)]
+    df = frame(spark, rows, "k bigint, input_ids array<int>, i bigint").repartition(5)
+    want = sorted((k, x or []) for k, x, _ in rows)
+    assert len(tokens.sliced(df, "k", "input_ids", 7)[1]) > 8
+    for per in (7, 1000):
+        at = str(tmp_path / f"t{per}")
+        files = tokens.write_token_shards(df, at, "k", rows_per_shard=per)
+        got = [d.tolist() for n, _, _ in files if n.endswith(".bin") for d in tokens.read_token_shard(f"{at}/{n}")]
+        assert len(got) == 300 and [sorted(got[i : i + 2]) for i in range(0, 300, 2)] == [[x for _, x in want[i : i + 2]] for i in range(0, 300, 2)]
+        assert sum(n.endswith(".bin") for n, _, _ in files) == -(-300 // per)
+    files = tokens.write_shuffled_shards(df, str(tmp_path / "s"), "i", n_shards=3)
+    got = [d.tolist() for n, _, _ in files if n.endswith(".bin") for d in tokens.read_token_shard(f"{tmp_path}/s/{n}")]
+    assert got == [r.input_ids or [] for r in df.orderBy(F.xxhash64("i", F.lit(0))).collect()]
+
+
+def test_split_lists():
+    b = pa.RecordBatch.from_pydict({"ids": pa.array([[1] * 40, None, [], [2] * 70, [3] * 5], pa.list_(pa.int32()))})
+    parts = list(tokens.split_lists(b, "ids", 50))
+    assert len(parts) > 1 and pa.Table.from_batches(parts)["ids"].to_pylist() == b.column("ids").to_pylist()
+
+
 def test_lines_and_encodings(spark):
     df = frame(spark, [(1, "Shared line.\nown one here."), (2, "shared  LINE.\n\nother text."), (3, None)])
     assert [r.text for r in dedup.corpus_line_dedup(df, "id").orderBy("id").collect()] == ["own one here.", "\nother text.", None]
