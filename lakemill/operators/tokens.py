@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakemill.functions.text import col
+from lakemill.functions.text import by_arrow, col
 from lakemill.operators.store import stored
 
 EOS = 256
@@ -50,11 +50,7 @@ def tokenize(df: DataFrame, column: str = "text", out_column: str = "input_ids",
     if tokenizer == "bytes":
         end = (EOS if eos_id is None else eos_id) if add_eos else None
 
-        @F.arrow_udf("array<int>")
-        def ids(texts: pa.Array) -> pa.Array:
-            return byte_lists(texts, end)
-
-        out = ids(x)
+        out = by_arrow(lambda texts: byte_lists(texts, end), "array<int>", x)
     else:
         if add_eos and eos_id is None:
             raise ValueError("a tokenizer of one's own needs an eos_id")

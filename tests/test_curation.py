@@ -126,6 +126,13 @@ def test_split_lists():
     assert len(parts) > 1 and pa.Table.from_batches(parts)["ids"].to_pylist() == b.column("ids").to_pylist()
 
 
+def test_results_leave_slice_by_slice(spark, monkeypatch):
+    """No call makes the results of a whole batch."""
+    df = spark.range(40).coalesce(1).select("id", F.repeat(F.lit("a b c. "), 20000).alias("text"))
+    seen = tx.by_arrow(lambda x: pa.array([len(x)] * len(x), pa.int32()), "int", F.col("text"))
+    assert df.select(seen.alias("n")).agg(F.max("n")).first()[0] < 40
+
+
 def test_lines_and_encodings(spark):
     df = frame(spark, [(1, "Shared line.\nown one here."), (2, "shared  LINE.\n\nother text."), (3, None)])
     assert [r.text for r in dedup.corpus_line_dedup(df, "id").orderBy("id").collect()] == ["own one here.", "\nother text.", None]
