@@ -324,6 +324,28 @@ def test_semantic_is_greedy(spark):
     assert linked == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_semantic_greedy_by_chunks(spark, monkeypatch):
+    for name, value in (("CHUNK", 64), ("PIECE", 32), ("STEP", 16)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(40, 4))[r.integers(0, 40, 400)] + r.normal(size=(400, 4)) * 0.3
+    x[17], x[200] = 0, np.nan
+    ids = [f"k{i:04d}" for i in r.permutation(400)]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(ids, x)] + [("k9", None)], "id string, embedding array<double>")
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    kept, want = [], {"k9": "k9"}
+    for i in sorted(range(400), key=ids.__getitem__):
+        s = unit[kept] @ unit[i] if len(kept) and i not in (17, 200) else np.zeros(0)
+        near = int(s.argmax()) if len(s) and s.max() >= 0.9 else None
+        want[ids[i]] = ids[i] if near is None else ids[kept[near]]
+        if near is None and i not in (17, 200):
+            kept.append(i)
+    found = vectors.semantic_dedup(df, "id", threshold=0.9, keep_cluster=True)
+    assert {r.id: r.semantic_cluster for r in found.collect()} == want and len(set(want.values())) < 350
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().toString()  # no task holds all vectors
+    assert {r.id for r in vectors.semantic_dedup(df, "id", threshold=0.9).collect()} == set(want.values())
+
+
 def test_vector_index_recall(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     s = vectors.VectorSearch(e, "embedding", "vec_id").build_index(str(tmp_path / "ivf"), 8)
