@@ -346,6 +346,29 @@ def test_semantic_greedy_by_chunks(spark, monkeypatch):
     assert {r.id for r in vectors.semantic_dedup(df, "id", threshold=0.9).collect()} == set(want.values())
 
 
+def test_semantic_clusters_by_chunks(spark, monkeypatch):
+    for name, value in (("CHUNK", 64), ("PIECE", 32), ("STEP", 16)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    r = np.random.default_rng(6)
+    x = r.normal(size=(60, 6))[r.integers(0, 60, 400)] + r.normal(size=(400, 6)) * 0.25
+    x[100:200] = x[100] + r.normal(size=(100, 6)) * 1e-3  # a dense class: 4,950 pairs
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id bigint, embedding array<double>")
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    want = np.arange(400)
+    near = (unit @ unit.T >= 0.95) | np.eye(400, dtype=bool)
+    while True:
+        again = np.where(near, want[None], 400).min(1)
+        if (again == want).all():
+            break
+        want = again
+    seen = []
+    whole = vectors.connected_components
+    monkeypatch.setattr(vectors, "connected_components", lambda e: seen.append(e.count()) or whole(e))
+    assert {q.node: q.component for q in vectors.semantic_clusters(df, "id", threshold=0.95).collect()} == dict(enumerate(want.tolist()))
+    assert len(set(want.tolist())) < 300 and seen[0] < 3000  # not a link per pair
+
+
 def test_vector_index_recall(spark, sf, tmp_path):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     s = vectors.VectorSearch(e, "embedding", "vec_id").build_index(str(tmp_path / "ivf"), 8)
