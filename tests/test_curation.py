@@ -308,6 +308,22 @@ def test_components_of_whole_lineitem_against_union_find(spark, sf, tmp_path):
         assert d == sf or len(set(want.values())) == 52
 
 
+def test_rows_of_a_hub_spread(spark):
+    # 4,000 links of one node and 400 of others
+    links = spark.range(4400).selectExpr("if(id < 4000, 50, 1000 + id % 100) AS hi", "if(id < 4000, 100 + id, 20000 + id) AS lo")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = components.star(links, 1000)
+        sizes = [len(p) for p in found.rdd.glom().collect()]
+        got = {(r.hi, r.lo): r.to for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(r.hi, r.lo): r.hi for r in links.collect()} and len(got) == 4400
+    assert max(sizes) < 1500  # of four partitions
+
+
 def test_substrings(spark):
     passage = " ".join(f"p{i}" for i in range(12))
     df = frame(spark, [(1, "one " + passage + " end"), (2, "two " + passage + " fin"), (3, "short"), (4, None)])
