@@ -1,5 +1,6 @@
 """The relational API on literal rows."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -226,3 +227,22 @@ def test_joins_over_whole_tables(spark, tmp_path):
     for how, want in {"inner": both, "left": both | left, "right": both | right, "outer": both | left | right}.items():
         rows = [tuple(r) for r in QUERIES[f"join_{how}"](spark, str(tmp_path)).select("c_custkey", "o_orderkey").collect()]
         assert len(rows) == len(want) and set(rows) == want
+
+
+def test_quantiles_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(dialect, "LARGE", 1000, raising=False)
+    r = np.random.default_rng(3)
+    rows = [(k, float(x)) for k, n in ((None, 3000), ("a", 5000), ("b", 30), ("c", 2010)) for x in np.round(r.lognormal(3, 2, n), 1)]
+    rows += [("d", None)] * 3 + [("e", 7.0)] * 1500 + [("a", None), ("e", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    qs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for api, kind in (("quantile_cont", "linear"), ("quantile_disc", "inverted_cdf")):
+        out = getattr(Relation(df), api)("x", qs, groups="k").frame
+        got = {x[0]: x[1] for x in out.collect()}
+        for k in (None, "a", "b", "c", "e"):
+            assert np.allclose(got[k], np.quantile([v for g, v in rows if g == k and v is not None], qs, method=kind), atol=1e-9), (api, k)
+        assert got["d"] == [None] * 5
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile_approx" in plan  # a large group's values don't meet in one task
+    values = [v for _, v in rows if v is not None]
+    assert abs(Relation(df).median("x").frame.first()[0] - np.median(values)) < 1e-9
