@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,10 +86,34 @@ def hybrid_search(df: DataFrame, text_query: str, vector_query: list[float], id_
     return rrf(text, near, id_column=id_column, k=k, rrf_k=rrf_k)
 
 
+#: Tokens that are counted at once.
+TOKENS = 1 << 20
+
+
 def postings(df: DataFrame, id_column: str, column: str = "text") -> DataFrame:
-    """(term, id, tf, length): an inverted index, to be written by term."""
-    tokens = df.select(col(id_column), tokenize(col(column)).alias("w"))
-    return tokens.select(col(id_column), F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("term", id_column).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """(term, id, tf, length): an inverted index, to be written by term. Each row's words are counted where they are read; a row has its own postings, so ids are unique."""
+    kind = df.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(b.column("w").is_valid())
+            ends = np.cumsum(pc.list_value_length(b.column("w")).to_numpy(zero_copy_only=False))
+            lo = 0
+            while lo < b.num_rows:
+                # as many rows as hold TOKENS, one at least
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+                rows = b.slice(lo, hi - lo)
+                length = pc.list_value_length(rows.column("w")).to_numpy(zero_copy_only=False).astype(np.int64)
+                words = rows.column("w").flatten().dictionary_encode()
+                row = np.repeat(np.arange(len(rows)), length)
+                # by term, then row: lines of one term lie together
+                key, tf = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(rows) + row, return_counts=True)
+                at = key % len(rows)
+                yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(key // len(rows))), rows.column("id").take(pa.array(at)), pa.array(tf.astype(np.int64)), pa.array(length[at].astype(np.int32))], ["term", "id", "tf", "length"])
+                lo = hi
+
+    found = df.select(col(id_column).alias("id"), tokenize(col(column)).alias("w")).mapInArrow(run, f"term string, id {kind}, tf bigint, length int")
+    return found.select("term", F.col("id").alias(id_column), "tf", "length")
 
 
 class TextIndex:

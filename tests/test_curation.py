@@ -405,6 +405,14 @@ def test_text_index_equals_scan(spark, sf, tmp_path):
     assert search.bm25(d, "  ", "doc_id").count() == 0
 
 
+def test_postings_are_counted_where_they_are_read(spark, monkeypatch):
+    monkeypatch.setattr(search, "TOKENS", 4, raising=False)
+    df = frame(spark, [(1, "b a b, c"), (2, None), (3, ""), (4, "A a a a a a"), (5, "c"), (6, "d")])
+    out = search.postings(df, "id")
+    assert sorted(tuple(r) for r in out.select("term", "id", "tf", "length").collect()) == [("a", 1, 1, 4), ("a", 4, 6, 6), ("b", 1, 2, 4), ("c", 1, 1, 4), ("c", 5, 1, 1), ("d", 6, 1, 1)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packing(spark, tmp_path):
     df = frame(spark, [(1, "aaaa"), (2, "bb"), (3, "cccccc"), (4, None)])
     t = tokens.tokenize(df.where("id < 4"))
