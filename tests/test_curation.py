@@ -362,6 +362,41 @@ def test_semantic_greedy_by_chunks(spark, monkeypatch):
     assert {r.id for r in vectors.semantic_dedup(df, "id", threshold=0.9).collect()} == set(want.values())
 
 
+def test_semantic_greedy_large_groups_by_chunks(spark, monkeypatch):
+    for name, value in (("CHUNK", 64), ("PIECE", 32), ("STEP", 16), ("GROUP", 100)):
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    real = vectors._greedy
+
+    def small(*given):
+        inner = real(*given)
+
+        def run(table):
+            assert len(table) <= 100, "one task holds a large group"
+            return inner(table)
+
+        return run
+
+    monkeypatch.setattr(vectors, "_greedy", small)
+    r = np.random.default_rng(8)
+    x = r.normal(size=(30, 4))[r.integers(0, 30, 500)] + r.normal(size=(500, 4)) * 0.3
+    x[17], x[200] = 0, np.nan
+    groups = [("a", "b", None, "d")[i] for i in r.choice(4, 500, p=[0.4, 0.3, 0.25, 0.05])]
+    assert sorted(map(groups.count, ("a", "b", None, "d")))[1] > 100
+    ids = r.permutation(500)
+    df = spark.createDataFrame([(int(k), v.tolist(), g) for k, v, g in zip(ids, x, groups)] + [(900, None, "a")], "id bigint, embedding array<double>, g string")
+    unit = x / np.where((n := np.linalg.norm(x, axis=1, keepdims=True)) > 0, n, 1)
+    kept, want = {g: [] for g in groups}, {900: 900}
+    for i in np.argsort(ids):
+        own = kept[groups[i]]
+        s = unit[own] @ unit[i] if own and i not in (17, 200) else np.zeros(0)
+        near = int(s.argmax()) if len(s) and s.max() >= 0.9 else None
+        want[int(ids[i])] = int(ids[i] if near is None else ids[own[near]])
+        if near is None and i not in (17, 200):
+            own.append(i)
+    found = vectors.semantic_dedup(df, "id", threshold=0.9, keep_cluster=True, cluster_column="g").collect()
+    assert {r.id: r.semantic_cluster for r in found} == want and len(found) == 501 and len(set(want.values())) < 450
+
+
 def test_semantic_clusters_by_chunks(spark, monkeypatch):
     for name, value in (("CHUNK", 64), ("PIECE", 32), ("STEP", 16)):
         monkeypatch.setattr(vectors, name, value, raising=False)
